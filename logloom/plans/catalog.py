@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import problems
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return problems.oracle_sql()
