@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read
-from . import packing, tokenize
+from . import packing, runs, tokenize
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.repeated(read(spark, sf_dir, "log_entries"))
+
+
+def p2_near_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collapsed events: neighbours of which four words in five agree, no further apart than ten minutes."""
+    return runs.runs(read(spark, sf_dir, "log_entries"), least=0.8, gap_us=600_000_000)
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +32,7 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_ids, p9_assign, p9_fill)}
+    return {f.__name__: f for f in (p2_found, p2_near_runs, p8_ids, p9_assign, p9_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
