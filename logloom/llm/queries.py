@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import read
-from . import packing, runs, tokenize
+from . import packing, percentiles, runs, tokenize
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,20 @@ def p2_near_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.runs(read(spark, sf_dir, "log_entries"), least=0.8, gap_us=600_000_000)
 
 
+def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles.by_source_and_day(read(spark, sf_dir, "enriched_entries")).withColumn("day", F.col("day").cast("string"))
+
+
+def p7_daily_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The combinable form: counts by source, day and first twenty bits of the reading."""
+    return percentiles.digit_histogram(percentiles.latency_readings(read(spark, sf_dir, "enriched_entries")), ["source", "day"], "latency_ms")
+
+
+def p7_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles by source with both bounds, from the sum of the daily histograms."""
+    return percentiles.bounds_from(percentiles.combine(p7_daily_histograms(spark, sf_dir), ["source"]), ["source"])
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_corpus(read(spark, sf_dir, "documents"))
 
@@ -32,8 +47,19 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_near_runs, p8_ids, p9_assign, p9_fill)}
+    return {f.__name__: f for f in (p2_found, p2_near_runs, p7_percentiles, p7_daily_histograms, p7_combined, p8_ids, p9_assign, p9_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p7_percentiles": P7_SQL}
+
+
+#: Distinct readings, ranked by DuckDB's own discrete quantile.
+P7_SQL = """
+with r as (select distinct entry_id, case source.kind when 'stdin' then 'stdin' when 'file' then 'file://' || source.path else source.kind || '://' || source.addr end as source,
+                  cast(cast(received_at at time zone 'UTC' as date) as varchar) as day, latency_ms
+           from enriched_entries where latency_ms is not null and isfinite(latency_ms)),
+     g as (select source, day, count(*) as n, quantile_disc(latency_ms, [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]) as q
+           from r group by grouping sets ((source, day), (source)))
+select source, day, n, unnest([10, 50, 250, 500, 750, 900, 950, 990, 999]) as permille, unnest(q) as value from g
+"""
