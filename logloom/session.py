@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -55,6 +56,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder: computed once, read by any executor, also after others are lost."""
+    at = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    _WRITTEN.append(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+_WRITTEN: list[str] = []
+
+
+def drop_materialised(spark: SparkSession) -> None:
+    """Remove the tables `materialise` wrote in this process; results that read them are void afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the driver's tables; NTZ columns become instants in UTC."""
     prepare(spark)
