@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import spikes
+from ..operators import spikes, timestamps
 from ..session import read
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timestamps.export_stamps(read(spark, sf_dir, "entry_exports"), read(spark, sf_dir, "log_sources"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.faults(read(spark, sf_dir, "enriched_entries"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found,)}
+    return {f.__name__: f for f in (p1_found, p6_found)}
 
 
 def oracle_sql() -> dict[str, str]:
