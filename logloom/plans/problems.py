@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import spikes, timestamps
+from ..operators import spikes, templates, timestamps
 from ..session import read
 
 
@@ -14,12 +15,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timestamps.export_stamps(read(spark, sf_dir, "entry_exports"), read(spark, sf_dir, "log_sources"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.records(read(spark, sf_dir, "file_lines"))
+
+
+def p3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mined templates: the common subsequence of their lines, their common beginning and the number of lines."""
+    return templates.mine(read(spark, sf_dir, "file_lines")).select(F.array_join("body", "").alias("body"), F.array_join("begin", "").alias("begin"), "n")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.faults(read(spark, sf_dir, "enriched_entries"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p6_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_templates, p6_found)}
 
 
 def oracle_sql() -> dict[str, str]:
