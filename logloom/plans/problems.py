@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import spikes, templates, timestamps
+from ..operators import drift, spikes, templates, timestamps
 from ..session import read
 
 
@@ -24,12 +24,21 @@ def p3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.mine(read(spark, sf_dir, "file_lines")).select(F.array_join("body", "").alias("body"), F.array_join("begin", "").alias("begin"), "n")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.changes(read(spark, sf_dir, "output_records"), read(spark, sf_dir, "output_files"))
+
+
+def p4_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records in one table, with the names their fields had first."""
+    return drift.unified(read(spark, sf_dir, "output_records"), read(spark, sf_dir, "output_files"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.faults(read(spark, sf_dir, "enriched_entries"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_templates, p6_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_templates, p4_found, p4_unified, p6_found)}
 
 
 def oracle_sql() -> dict[str, str]:
