@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import packing, percentiles, runs, tokenize
+from . import packing, percentiles, pii, runs, tokenize
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,15 @@ def p2_near_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.runs(read(spark, sf_dir, "log_entries"), least=0.8, gap_us=600_000_000)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found_rows(read(spark, sf_dir, "log_entries")).select("entry_id", "pii_type", "pii_text")
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry once, with placeholders for what identifies a person."""
+    return pii.redact(read(spark, sf_dir, "log_entries").select("entry_id", "content")).distinct()
+
+
 def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.by_source_and_day(read(spark, sf_dir, "enriched_entries")).withColumn("day", F.col("day").cast("string"))
 
@@ -47,7 +56,7 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_near_runs, p7_percentiles, p7_daily_histograms, p7_combined, p8_ids, p9_assign, p9_fill)}
+    return {f.__name__: f for f in (p2_found, p2_near_runs, p5_found, p5_redacted, p7_percentiles, p7_daily_histograms, p7_combined, p8_ids, p9_assign, p9_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
