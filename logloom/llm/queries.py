@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import packing, percentiles, pii, runs, tokenize
+from . import packing, percentiles, pii, quality, runs, tokenize
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +55,17 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p9_assign(spark, sf_dir))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.found(read(spark, sf_dir, "documents"))
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's statistics, their robust z-scores within the language, and its kind."""
+    return quality.kinds(quality.scores(quality.statistics(read(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_near_runs, p5_found, p5_redacted, p7_percentiles, p7_daily_histograms, p7_combined, p8_ids, p9_assign, p9_fill)}
+    return {f.__name__: f for f in (p2_found, p2_near_runs, p5_found, p5_redacted, p7_percentiles, p7_daily_histograms, p7_combined, p8_ids, p9_assign, p9_fill, p10_found, p10_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
