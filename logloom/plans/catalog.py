@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems
+from . import problems, reference
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return problems.queries()
+    return reference.QUERIES | problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return problems.oracle_sql()
+    return reference.SQL | problems.oracle_sql()
