@@ -61,7 +61,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's statistics, their robust z-scores within the language, and its kind."""
-    return quality.kinds(quality.scores(quality.statistics(read(spark, sf_dir, "documents"))))
+    return quality.measured(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
