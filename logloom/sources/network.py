@@ -124,32 +124,43 @@ class UdpListener:
         self.socket.close()
 
 
+#: The listeners of this process. Sockets and locks can't be sent to executors, so readers know their listener by number.
+_LISTENERS: dict[int, TcpListener | UdpListener] = {}
+
+
 class _Reader(SimpleDataSourceStreamReader):
     def __init__(self, kind: str, options: dict) -> None:
         host, port, bound = options.get("host", "127.0.0.1"), int(options.get("port", 0)), int(options.get("buffer", 10_000))
         try:
-            self.listener = TcpListener(host, port, int(options.get("maxConnections", 100)), bound) if kind == "tcp" else UdpListener(host, port, bound)
+            listener = TcpListener(host, port, int(options.get("maxConnections", 100)), bound) if kind == "tcp" else UdpListener(host, port, bound)
         except OSError as e:
             raise SourceError(f"{kind} {host}:{port}: {e}") from e
+        self.number = id(listener)
+        _LISTENERS[self.number] = listener
         if at := options.get("portFile"):
             with open(at, "w") as f:
-                f.write(str(self.listener.port))
+                f.write(str(listener.port))
+
+    @property
+    def buffer(self) -> Buffer:
+        listener = _LISTENERS.get(self.number)
+        return listener.buffer if listener else Buffer(0)
 
     def initialOffset(self) -> dict:
         return {"line": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end = {"line": max(start["line"], self.listener.buffer.end())}
+        end = {"line": max(start["line"], self.buffer.end())}
         return self.readBetweenOffsets(start, end), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         from datetime import UTC, datetime
 
-        rows = self.listener.buffer.read(start["line"], end["line"])
+        rows = self.buffer.read(start["line"], end["line"])
         return iter([(datetime.fromtimestamp(t, UTC), (kind, addr, None), line, {}) for t, kind, addr, line in rows])
 
     def commit(self, end: dict) -> None:
-        self.listener.buffer.forget(end["line"])
+        self.buffer.forget(end["line"])
 
 
 class TcpLines(DataSource):
