@@ -83,10 +83,12 @@ def bounds_from(histogram: DataFrame, groups: Sequence[str], permille: Sequence[
 
 def select_ranks(df: DataFrame, groups: Sequence[str], value: str, permille: Sequence[int] = PERMILLE) -> DataFrame:
     """groups, n, permille, value: exact percentiles of the finite values."""
-    groups = list(groups)
+    names = list(groups)
+    groups = [f"_c{i}" for i in range(len(names))]  # own names, so that none of the columns made here clashes
+    renamed = df.select(*[F.col(n).alias(c) for n, c in zip(names, groups, strict=True)], F.col(value).alias("_value"))
     # Null groups must meet in the joins below, so each group has a number of its own that is never null.
     g = F.xxhash64(*[F.struct(F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in groups])
-    data = materialise(keyed(df, groups, value).withColumn("g", g))
+    data = materialise(keyed(renamed, groups, "_value").withColumn("g", g))
     targets = None
     for r in range(1, 64 // DIGIT + 1):
         shift = 64 - DIGIT * r
@@ -109,7 +111,7 @@ def select_ranks(df: DataFrame, groups: Sequence[str], value: str, permille: Seq
         here = F.filter("ranks", lambda x: (x["rank"] > F.col("before")) & (x["rank"] <= F.col("upto")))
         found = cut.withColumn("hit", F.explode(here))
         targets = found.select("g", *groups, "total", "prefix", F.col("hit.permille").alias("permille"), (F.col("hit.rank") - F.col("before")).alias("rank"))
-    return targets.select(*groups, F.col("total").alias("n"), "permille", value_of_bits(F.col("prefix")).alias("value"))
+    return targets.select(*[F.col(c).alias(n) for n, c in zip(names, groups, strict=True)], F.col("total").alias("n"), "permille", value_of_bits(F.col("prefix")).alias("value"))
 
 
 def latency_readings(entries: DataFrame) -> DataFrame:
