@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.entries import source_uri
@@ -40,10 +38,6 @@ def _plain(df: DataFrame, metric: str, value: Column) -> DataFrame:
     return df.agg(value.cast("double").alias("value")).select(F.lit(metric).alias("metric"), F.lit("").alias("label"), F.lit("").alias("label_value"), "value")
 
 
-def _counted(df: DataFrame, metric: str, label: str, by: Column) -> DataFrame:
-    return df.select(by.alias("label_value")).where("label_value is not null").groupBy("label_value").agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(metric).alias("metric"), F.lit(label).alias("label"), "label_value", "value")
-
-
 def latency_histogram(enriched: DataFrame, value: str = "latency_ms") -> DataFrame:
     """Cumulative counts by upper bound, the sum and the count, from one pass."""
     v = F.col(value)
@@ -54,19 +48,40 @@ def latency_histogram(enriched: DataFrame, value: str = "latency_ms") -> DataFra
     return sums.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
+def _sample(metric: str, label: str, value: Column | str, n: Column | float = 1.0) -> Column:
+    return F.struct(F.lit(metric).alias("metric"), F.lit(label).alias("label"), (F.lit(value) if isinstance(value, str) else value).alias("label_value"), (n if isinstance(n, Column) else F.lit(float(n))).alias("value"))
+
+
 def metrics(enriched: DataFrame) -> DataFrame:
-    """Everything that a batch of enriched lines says, in long form."""
-    parts = [
-        _plain(enriched, "logs_received_total", F.count(F.lit(1))),
-        _plain(enriched, "logs_processed_total", F.count_if(F.col("error").isNull()) if "error" in enriched.columns else F.count(F.lit(1))),
-        _plain(enriched, "processing_errors_total", F.count_if(F.col("error").isNotNull()) if "error" in enriched.columns else F.lit(0)),
-        _counted(enriched, "logs_by_level_total", "level", F.col("level")),
-        _counted(enriched, "logs_by_source_total", "source", source_kind(F.coalesce(source_uri("source"), F.lit("")))),
-        _counted(enriched.select(F.explode("security_flags").alias("f")), "security_flags_total", "flag", debug_name(F.col("f"))),
-        _plain(enriched, "latency_extracted_total", F.count("latency_ms")),
-        latency_histogram(enriched),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Everything that a batch of enriched lines says, in long form, from one pass: each line gives a handful of samples, which
+    are summed on the map side. Counters without a line are zero."""
+    ok = F.col("error").isNull() if "error" in enriched.columns else F.lit(True)
+    ms = F.col("latency_ms")
+    bucket = F.lit("+Inf")
+    for b in reversed(LATENCY_BUCKETS):
+        bucket = F.when(ms <= b, str(b)).otherwise(bucket)
+    kind = source_kind(F.coalesce(source_uri("source"), F.lit("")))
+    plain = F.array(
+        _sample("logs_received_total", "", ""),
+        _sample("logs_processed_total", "", "", ok.cast("double")),
+        _sample("processing_errors_total", "", "", (~ok).cast("double")),
+        F.when(F.col("level").isNotNull(), _sample("logs_by_level_total", "level", F.col("level"))),
+        _sample("logs_by_source_total", "source", kind),
+        F.when(ms.isNotNull(), _sample("latency_extracted_total", "", "")),
+        F.when(ms.isNotNull(), _sample("latency_ms_bucket", "le", bucket)),
+        F.when(ms.isNotNull(), _sample("latency_ms_sum", "", "", ms)),
+        F.when(ms.isNotNull(), _sample("latency_ms_count", "", "")),
+    )
+    flags = F.transform(F.coalesce("security_flags", F.array().cast("array<struct<flag:string,pattern_name:string>>")), lambda f: _sample("security_flags_total", "flag", debug_name(f)))
+    samples = enriched.select(F.explode(F.concat(F.array_compact(plain), flags)).alias("x")).select("x.*")
+    zero = [(m, "", "", 0.0) for m in ("logs_received_total", "logs_processed_total", "processing_errors_total", "latency_extracted_total", "latency_ms_sum", "latency_ms_count")]
+    zero += [("latency_ms_bucket", "le", str(b), 0.0) for b in (*LATENCY_BUCKETS, "+Inf")]
+    none = enriched.sparkSession.createDataFrame(zero, "metric string, label string, label_value string, value double")
+    summed = samples.unionByName(none).groupBy("metric", "label", "label_value").agg(F.sum("value").alias("value"))
+    rest = summed.where("metric <> 'latency_ms_bucket'")
+    order = F.when(F.col("label_value") == "+Inf", float("inf")).otherwise(F.col("label_value").try_cast("double"))
+    upto = F.sum("value").over(Window.partitionBy("metric").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))  # eleven rows
+    return rest.unionByName(summed.where("metric = 'latency_ms_bucket'").withColumn("value", upto))
 
 
 def output_bytes(lines: DataFrame, line: str, output: str) -> DataFrame:

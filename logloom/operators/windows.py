@@ -3,8 +3,9 @@
 A trailing window of d holds the values with a time after t - d, up to and including t. Values are kept in whole microseconds
 between 1 µs and a minute, as the histograms of the metrics keep them.
 
-A window over all rows can't be split by key, so exact trailing statistics are partitioned by `keys`; without keys, counts, sums
-and extremes come from buckets of one second that are summed up first (see `bucketed_rolling`).
+A trailing window is cut into blocks of time: a block holds its own rows and, as a margin, those of the block before that its
+windows reach back to. So neither a key with a third of all rows nor a window over all rows ends up in one task. Where counts, sums
+and extremes are enough, `bucketed_rolling` sums up seconds first.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from .latency import parse_duration
 
 LIMIT_US = 60_000_000
 
+#: Length of a block of time, in windows: its margin adds an eighth to the rows.
+BLOCK_WINDOWS = 8
+
 
 def to_micros(ms: Column) -> Column:
     """Whole microseconds, or null where the histograms don't reach."""
@@ -32,12 +36,16 @@ def rolling_stats(df: DataFrame, ts: str, value: str, windows: Sequence[str], pe
     base = df.withColumn("_at", at)
     out = None
     for name, us in named:
-        w = Window.partitionBy(*keys).orderBy("_at").rangeBetween(-(us - 1), 0)
+        length = max(BLOCK_WINDOWS * us, 60_000_000)
+        block = F.floor(F.col("_at") / length)
+        margin = F.when(F.col("_at") > (block + 1) * length - us, F.struct((block + 1).alias("b"), F.lit(True).alias("margin")))
+        placed = base.withColumn("_in", F.explode(F.array_compact(F.array(F.struct(block.alias("b"), F.lit(False).alias("margin")), margin)))).withColumn("_b", F.col("_in.b"))
+        w = Window.partitionBy(*keys, "_b").orderBy("_at").rangeBetween(-(us - 1), 0)
         v = F.col(value)
-        one = base.select(
+        one = placed.select(
             "*", F.lit(name).alias("window"), F.count(v).over(w).alias("count"), F.min(v).over(w).alias("min_ms"), F.max(v).over(w).alias("max_ms"), F.avg(v).over(w).alias("mean_ms"),
             *[F.percentile_approx(v, F.lit(p / 100), F.lit(100_000)).over(w).alias(f"p{p}_ms") for p in percentiles],
-        ).drop("_at")
+        ).where("not _in.margin").drop("_at", "_in", "_b")
         out = one if out is None else out.unionByName(one)
     return out
 

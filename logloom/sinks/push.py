@@ -44,12 +44,12 @@ def push_line(df: DataFrame) -> Column:
 
 
 def streams(enriched: DataFrame, config: Loki | None = None, batch_size: int | None = None) -> DataFrame:
-    """stream (labels) and values, [nanoseconds, line] in order of arrival. A label set with many lines gives many batches:
-    lines are dealt to batches by time first, so no group outgrows `batch_size` by much and none is ever in one task."""
+    """stream (labels) and values, [nanoseconds, line] in order of arrival, at most `batch_size` a row. Lines are grouped by labels
+    and second, so a label set with a third of all lines is spread over many tasks and a group is what it says in one second."""
     c = config or Loki()
     labelled = enriched.select(key_of(labels_of(c)).alias("key"), labels_of(c).alias("stream"), F.unix_micros("received_at").alias("us"), push_line(enriched).alias("line"))
     per = batch_size or c.batch_size
-    spread = labelled.withColumn("slice", F.floor(F.col("us") / (60 * 1_000_000)))
+    spread = labelled.withColumn("slice", F.floor(F.col("us") / 1_000_000))
     grouped = spread.groupBy("key", "slice").agg(F.first("stream").alias("stream"), F.array_sort(F.collect_list(F.struct("us", "line"))).alias("rows"))
     cut = grouped.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("rows") / per) - 1, F.lit(0)).cast("int")))).withColumn("rows", F.slice("rows", F.col("part") * per + 1, F.lit(per)))
     return cut.select("stream", F.transform("rows", lambda r: F.struct((r["us"] * 1000).cast("string").alias("ts_ns"), r["line"].alias("line"))).alias("values"))
