@@ -69,7 +69,9 @@ ADDRESSES = "|".join((
     rf"(?<![\p{{L}}]){_U}[\p{{L}}-]* (?:Straße|Str\.|Weg|Gasse|Allee|Platz|Ring) \d{{1,4}}[a-z]?(?!\w)",
     rf"(?<![\p{{L}}]){GERMAN_STARTS} {_U}[\p{{L}}-]* \d{{1,4}}[a-z]?(?!\w)",
 ))
-MENTIONS = "|".join(f"(?:{p})" for p in (EMAILS, ADDRESSES, IDENTITIES, PHONES, NAMES))
+WITHOUT_EMAILS = "|".join(f"(?:{p})" for p in (ADDRESSES, IDENTITIES, PHONES, NAMES))
+MENTIONS = f"(?:{EMAILS})|{WITHOUT_EMAILS}"
+AT = r"@|%40|&#64;|[(\[]at[)\]]"
 
 
 def _round(half: Column, r: Column, width: Column, key: str) -> Column:
@@ -118,7 +120,7 @@ def pseudonym(kind: Column, text: Column, key: str = KEY) -> Column:
 def kind_of(text: Column) -> Column:
     """The type of a mention, from its own form: the patterns don't share forms."""
     return (
-        F.when(text.rlike(r"@|%40|&#64;|\(at\)|\[at\]"), "email")
+        F.when(text.rlike(AT), "email")
         .when(~text.rlike(r"\d"), "name")
         .when(text.rlike(rf"^(?:{IDENTITIES})$"), "identity")
         .when(text.rlike(r"\p{L}{2,}"), "address")
@@ -128,7 +130,10 @@ def kind_of(text: Column) -> Column:
 
 def mentions(content: Column) -> Column:
     """Distinct mentions as an array of (pii_type, pii_text), found in one pass from the left; none overlaps another."""
-    return F.transform(F.array_distinct(F.regexp_extract_all(content, F.lit(MENTIONS), F.lit(0))), lambda t: F.struct(kind_of(t).alias("pii_type"), t.alias("pii_text")))
+    every = lambda pattern: F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
+    # The pattern of e-mails starts at every word, so it is left out of lines that can't have one.
+    texts = F.when(content.rlike(AT), every(MENTIONS)).otherwise(every(WITHOUT_EMAILS))
+    return F.transform(F.array_distinct(texts), lambda t: F.struct(kind_of(t).alias("pii_type"), t.alias("pii_text")))
 
 
 def find(entries: DataFrame, content: str = "content") -> DataFrame:
