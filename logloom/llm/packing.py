@@ -7,7 +7,8 @@ running sum is cut at multiples of C - C/K, so that a container never overflows
 C are cut into pieces of exactly C and a rest, the only case in which an item is split.
 
 A class is dealt to shards of about SHARD_ITEMS items by hash, so a class that holds most of the corpus is numbered by many
-tasks; each shard leaves at most one container partly filled.
+tasks. What doesn't fill a last container, fewer than j items of class j in each shard, is left over; the left-over items of a shard
+number (at most CLASSES**2 / 2) are packed together, the largest first into the first container with room.
 
 Defined cases: null and empty texts are items of size 0 and join the last class; an id delivered twice with the same size is
 one item; extra columns are dropped; an empty table gives no rows.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tokenize import count_tokens
 
@@ -41,8 +43,28 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY,
     dealt = classed.join(F.broadcast(shards), "bin_class").withColumn("shard", F.pmod(F.xxhash64(id_col, "piece"), F.col("shards")).cast("int"))
     w = Window.partitionBy("bin_class", "shard").orderBy(F.desc("n_tokens"), id_col, "piece")
     before = F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    count = F.count(F.lit(1)).over(Window.partitionBy("bin_class", "shard"))
     at = F.when(F.col("bin_class") == 0, F.floor(F.coalesce(before, F.lit(0)) / (capacity - small))).otherwise(F.floor((F.row_number().over(w) - 1) / F.greatest(F.col("bin_class"), F.lit(1))))
-    return dealt.withColumn("at", at).select(id_col, "piece", "n_tokens", "bin_class", F.concat_ws("-", "bin_class", "shard", "at").alias("bin_id"))
+    placed = dealt.withColumns({"at": at, "n": count})
+    left = (F.col("bin_class") > 1) & (F.col("at") == F.floor(F.col("n") / F.col("bin_class")))
+    out = ["piece", "n_tokens", "bin_class", "bin_id"]
+    full = placed.where(~left).select(id_col, "piece", "n_tokens", "bin_class", F.concat_ws("-", "bin_class", "shard", "at").alias("bin_id"))
+    kind = T.StructType([items.schema[id_col], *(full.schema[c] for c in out)])
+
+    def first_fit(pdf):
+        pdf = pdf.sort_values(["n_tokens", id_col, "piece"], ascending=[False, True, True])
+        room: list[int] = []
+        into = []
+        for n in pdf["n_tokens"]:
+            k = next((i for i, r in enumerate(room) if r >= n), len(room))
+            if k == len(room):
+                room.append(capacity)
+            room[k] -= int(n)
+            into.append(f"x-{pdf['shard'].iloc[0]}-{k}")
+        return pdf.assign(bin_id=into)[[id_col, *out]]
+
+    rest = placed.where(left).select(id_col, "piece", "n_tokens", "bin_class", "shard").groupBy("shard").applyInPandas(first_fit, kind)
+    return full.unionByName(rest)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -51,9 +73,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None =
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """By class: containers, items, tokens and the share of the capacity that is used."""
-    bins = packed.groupBy("bin_class", "bin_id").agg(F.count(F.lit(1)).alias("items"), F.sum("n_tokens").alias("tokens"))
-    return bins.groupBy("bin_class").agg(
+    """By kind of container, a class or `x` for left-over items: containers, pieces, tokens and the share of the capacity used."""
+    bins = packed.groupBy("bin_id").agg(F.count(F.lit(1)).alias("items"), F.sum("n_tokens").alias("tokens"))
+    return bins.groupBy(F.substring_index("bin_id", "-", 1).alias("kind")).agg(
         F.count(F.lit(1)).alias("n_bins"), F.sum("items").alias("n_items"), F.sum("tokens").alias("n_tokens"),
         F.max("tokens").alias("fullest"), F.round(F.sum("tokens") / (F.count(F.lit(1)) * F.lit(capacity)), 6).alias("fill"),
     )
