@@ -69,7 +69,8 @@ ADDRESSES = "|".join((
     rf"(?<![\p{{L}}]){_U}[\p{{L}}-]* (?:Straße|Str\.|Weg|Gasse|Allee|Platz|Ring) \d{{1,4}}[a-z]?(?!\w)",
     rf"(?<![\p{{L}}]){GERMAN_STARTS} {_U}[\p{{L}}-]* \d{{1,4}}[a-z]?(?!\w)",
 ))
-WITHOUT_EMAILS = "|".join(f"(?:{p})" for p in (ADDRESSES, IDENTITIES, PHONES, NAMES))
+#: All of these begin with a capital, a digit, a plus sign or a bracket, which is looked for before any of them is tried.
+WITHOUT_EMAILS = r"(?=[\p{Lu}\d+(])(?:" + "|".join(f"(?:{p})" for p in (ADDRESSES, IDENTITIES, PHONES, NAMES)) + ")"
 MENTIONS = f"(?:{EMAILS})|{WITHOUT_EMAILS}"
 AT = r"@|%40|&#64;|[(\[]at[)\]]"
 
