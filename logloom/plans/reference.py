@@ -146,6 +146,18 @@ def kv_extract(spark, d):
     return entries(spark, d).where(content().startswith("ts=")).select("entry_id", value("app"), value("level"), parser.pair_count(content()).cast("bigint").alias("n"))
 
 
+@query(
+    f"""with p as (select entry_id, unnest(regexp_extract_all(content, {lit(parser.PAIR)}, 1)) as k, unnest(regexp_extract_all(content, {lit(parser.PAIR)}, 2)) as a, unnest(regexp_extract_all(content, {lit(parser.PAIR)}, 3)) as b, unnest(regexp_extract_all(content, {lit(parser.PAIR)}, 4)) as c,
+    generate_subscripts(regexp_extract_all(content, {lit(parser.PAIR)}, 1), 1) as pos from {E}), q as (select entry_id, k, pos, coalesce(a, '') || coalesce(b, '') || coalesce(c, '') as v from p)
+    select entry_id, arg_max(v, pos) filter (k = 'app') as app, arg_max(v, pos) filter (k = 'level') as level, count(*) as n from q group by entry_id"""
+)
+def kv_fields(spark, d):
+    """As kv_extract, of every line that holds a pair, wherever it stands: the last of equal keys, as written, without quotes."""
+    value = lambda k: F.try_element_at(F.filter("pairs", lambda p: p["key"] == k), F.lit(-1))["value"].alias(k)
+    paired = entries(spark, d).select("entry_id", parser.pairs_of(content()).alias("pairs")).where(F.size("pairs") > 0)
+    return paired.select("entry_id", value("app"), value("level"), F.size("pairs").cast("bigint").alias("n"))
+
+
 @query(
     f"""with p as (select entry_id, unnest(regexp_extract_all(content, {lit(parser.PAIR)}, 2)) as a, unnest(regexp_extract_all(content, {lit(parser.PAIR)}, 3)) as b, unnest(regexp_extract_all(content, {lit(parser.PAIR)}, 4)) as c from {E}), q as (select coalesce(a, '') || coalesce(b, '') || coalesce(c, '') as v from p)
     select case when regexp_matches(v, '^[+-]?\\d+$') and try_cast(v as bigint) is not null then 'integer' when regexp_matches(v, '(?i)^[+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:e[+-]?\\d+)?$') or regexp_matches(v, '(?i)^[+-]?(?:nan|inf|infinity)$') then 'float' when v in ('true', 'false') then 'boolean' else 'string' end as kind, count(*) as n from q group by 1"""
