@@ -5,7 +5,8 @@ punctuation, share of common words, and with them share of cue timings, of table
 scaffolding (numbers, timings, markup) is set aside first, as are lines that describe sounds only.
 
 For each language and each statistic a mergeable quantile sketch (KLL) holds the distribution; documents without a usable
-language are held against the sketch of all. A value becomes a robust z-score: its distance from the median in quartile widths.
+language are held against the sketch of all. A value becomes a robust z-score: its distance from the median in quartile widths
+of the other side, so that many documents in one tail don't hide each other. Where they are half of a language they still do.
 A document whose lines hardly ever end a sentence, or are nearly all adverts, lies in a tail that spoken dialogue never reaches;
 which other statistics lie in their tails tells tables, junk and lists apart.
 
@@ -142,7 +143,13 @@ def scores(stats: DataFrame) -> DataFrame:
     quantile = lambda m, r: F.kll_sketch_get_quantile_double(F.col(m), F.lit(r))
     spread = sketches(stats).where("n > 0").select("language", *[F.struct(quantile(m, 0.25).alias("q1"), quantile(m, 0.5).alias("q2"), quantile(m, 0.75).alias("q3")).alias(f"q_{m}") for m in MEASURES])
     joined = stats.join(F.broadcast(spread), "language")  # a row a language, eight at most
-    z = lambda m: (F.col(m) - F.col(f"q_{m}.q2")) / F.greatest((F.col(f"q_{m}.q3") - F.col(f"q_{m}.q1")) / 2, F.lit(LEAST_WIDTH) * (1 if m != "mean_word_length" else 10))
+
+    def z(m: str) -> Column:
+        """The width is that of the other side of the median, so that a heavy tail can't widen its own fence."""
+        q1, q2, q3 = (F.col(f"q_{m}.q{i}") for i in (1, 2, 3))
+        width = F.when(F.col(m) < q2, q3 - q2).otherwise(q2 - q1)
+        return (F.col(m) - q2) / F.greatest(width, F.lit(LEAST_WIDTH) * (1 if m != "mean_word_length" else 10))
+
     return joined.withColumns({f"z_{m}": z(m) for m in MEASURES}).drop(*[f"q_{m}" for m in MEASURES])
 
 

@@ -201,6 +201,15 @@ def test_kinds_of_text(spark):
     assert quality.found(df.where("false")).count() == 0
 
 
+def test_many_unspoken_texts_do_not_hide_each_other(spark):
+    said = ["The doctor found the keys.", "Who is there?", "We lost the map and went home.", "No, it was not for you!"]
+    kinds = {"list": srt(["Chapter 1: The Boat", "Chapter 2: The Map"] * 4), "table": "cue,cps,reel\n" + "".join(f"{i},1{i}.5,R1\n" for i in range(9)), "junk": srt(["Get more at subs.test for FREE!!!", "visit www.subs.example"] * 3)}
+    for kind, text in kinds.items():
+        docs = [(i, srt([said[(i + k) % 4] for k in range(8)]), "en") for i in range(60)] + [(100 + i, text, "en") for i in range(30)]
+        got = {r["doc_id"]: r["doc_kind"] for r in quality.found(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+        assert got == {100 + i: kind for i in range(30)}
+
+
 def test_sketches_merge(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("word "), (F.col("id") % 50 + 1).cast("int")), F.lit("end.")).alias("text"), F.lit("en").alias("lang"))
     stats = quality.statistics(docs)
