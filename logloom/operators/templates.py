@@ -5,7 +5,8 @@
 2. Each partition clusters its shapes: a shape joins the template of its leading tokens with which it shares the longest common
    subsequence, half of the shorter one at least. The common subsequence is the template's constant part, and what lies between
    its tokens are variable slots. The templates of all partitions, a few dozen, are merged the same way.
-3. The common beginning of a template up to its last separator is its head. Slots of the head are classified by type: the stamp,
+3. The beginning that nearly all lines of a template have, up to its last separator, is its head; lines that begin otherwise have
+   heads of their own, so a rare line can't shorten that of the others. Slots of the head are classified by type: the stamp,
    the level (word, letter or syslog priority), and as component the last name before the message. A template whose head has a
    level or stamp and a component begins a record; all others are continuations.
 4. Heads become patterns, applied by Spark to every line. Records of a file are delimited by the next head, found within blocks
@@ -104,9 +105,53 @@ def common(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(out)
 
 
-def common_prefix(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
-    n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    return a[:n]
+#: The beginning of a template: the share of its lines that have it, and the share that may have something else in its place.
+#: Lines that end there, such as ones cut off, count for neither.
+SUPPORT, OTHERS = 0.9, 0.01
+END = "\n"  # after the last token of a line
+
+
+def beginnings(begins: list[tuple[tuple, int]]) -> list[tuple[tuple, int]]:
+    """What lines begin with, and how many: the longest prefix that nearly all of them have, then that of the rest, and so on, so
+    that a rare line neither shortens the beginning of the others nor gets lost. Most lines first."""
+    out = []
+    while begins:
+        here, rest, at, others, n = begins, [], 0, 0, sum(k for _, k in begins)
+        while True:
+            ahead: dict[str, int] = {}
+            for b, k in here:
+                if len(b) > at and b[at] != END:
+                    ahead[b[at]] = ahead.get(b[at], 0) + k
+            token = max(ahead, key=lambda t: (ahead[t], t), default=END)
+            leave = [(b, k) for b, k in here if b[at : at + 1] != (token,)]
+            others += sum(k for b, k in leave if END not in b[at : at + 2])
+            if ahead.get(token, 0) < SUPPORT * n or others > OTHERS * n:
+                break
+            here, rest, at = [(b, k) for b, k in here if b[at : at + 1] == (token,)], rest + leave, at + 1
+        out.append((here[0][0][:at], sum(k for _, k in here)))
+        begins = rest
+    return out
+
+
+def pruned(begins: list[tuple[tuple, int]]) -> list[tuple[tuple, int]]:
+    """The same counts in a bounded number of beginnings: what less than OTHERS of the lines have is cut where it parts from the rest,
+    and still says whether the line ended there."""
+    least = OTHERS * sum(k for _, k in begins)
+    out: dict[tuple, int] = {}
+    groups = [(begins, 0)]
+    while groups:
+        group, at = groups.pop()
+        by_token: dict[tuple, list] = {}
+        for b, k in group:
+            by_token.setdefault(b[at : at + 1], []).append((b, k))
+        for token, part in by_token.items():
+            if token and sum(k for _, k in part) >= least:
+                groups.append((part, at + 1))
+                continue
+            for b, k in part:
+                kept = b[:at] + (END,) * (END in b[at : at + 2])
+                out[kept] = out.get(kept, 0) + k
+    return list(out.items())
 
 
 LEAD = 6  # tokens that index the templates
@@ -117,47 +162,51 @@ def lead(t: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(x for x in t if x != " ")[: LEAD - 2]
 
 
-def merge(found: list[tuple[tuple, tuple, int]], new: tuple[tuple, tuple, int], by_lead: dict) -> None:
-    """Add a template (constant part, beginning, count) to the list, into the closest one if half of the shorter agrees."""
-    body, begin, n = new
+def merge(found: list[tuple[tuple, list, int]], new: tuple[tuple, list, int], begin: tuple, by_lead: dict) -> None:
+    """Add a template (constant part, counted beginnings, count) to the list, into the closest one if half of the shorter agrees."""
+    body, begins, n = new
     here = by_lead.setdefault(lead(begin), [])
     scored = [(len(c := common(found[i][0], body)), c, i) for i in here]
     scored = [x for x in scored if 2 * x[0] >= min(len(body), len(found[x[2]][0]))]
     if scored:
         _, c, i = max(scored, key=lambda x: (x[0], -x[2]))
-        found[i] = (c, common_prefix(found[i][1], begin), found[i][2] + n)
+        found[i][1].extend(begins)
+        found[i] = (c, found[i][1], found[i][2] + n)
     else:
         here.append(len(found))
         found.append(new)
 
 
 def mine(lines: DataFrame) -> DataFrame:
-    """Templates of the lines: body, begin (both joined by blanks of their own) and n."""
+    """Templates of the lines: body, begin (both joined by blanks of their own) and n. Lines of a template that begin otherwise than
+    nearly all of it have rows of their own, marked as its rest."""
     shapes = lines.select(shape(F.col("content")).alias("shape")).groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
 
     def cluster(rows):
         found: list = []
         by_lead: dict = {}
-        for body, begin, n in sorted(rows, key=lambda r: (-r[2], r[0])):
-            merge(found, (tuple(body), tuple(begin), n), by_lead)
+        for body, begin, begins, n in sorted(rows, key=lambda r: (-r[3], r[0])):
+            merge(found, (body, begins, n), begin, by_lead)
         return found
 
-    def frame(found):
+    def partition(batches):
         import pandas as pd
 
-        return pd.DataFrame([(list(b), list(g), n) for b, g, n in found], columns=["body", "begin", "n"])
-
-    def partition(batches):
-        rows = [(t, t, int(n)) for pdf in batches for s, n in zip(pdf["shape"], pdf["n"], strict=True) if (t := tokens(s))]
-        yield frame(cluster(rows))
+        rows = [(t, t, [((*t, END), int(n))], int(n)) for pdf in batches for s, n in zip(pdf["shape"], pdf["n"], strict=True) if (t := tokens(s))]
+        out = [(list(body), list(beginnings(begins)[0][0]), [list(b) for b, _ in kept], [k for _, k in kept], n) for body, begins, n in cluster(rows) if (kept := pruned(begins))]
+        yield pd.DataFrame(out, columns=["body", "begin", "begins", "counts", "n"])
 
     def final(pdf):
-        return frame(cluster([(tuple(b), tuple(g), int(n)) for b, g, n in zip(pdf["body"], pdf["begin"], pdf["n"], strict=True)]))
+        import pandas as pd
+
+        columns = (pdf[c] for c in ("body", "begin", "begins", "counts", "n"))
+        rows = [(tuple(body), tuple(begin), [(tuple(b), int(k)) for b, k in zip(begins, counts, strict=True)], int(n)) for body, begin, begins, counts, n in zip(*columns, strict=True)]
+        out = [(list(body), list(begin), k, i > 0) for body, begins, _ in cluster(rows) for i, (begin, k) in enumerate(beginnings(begins))]
+        return pd.DataFrame(out, columns=["body", "begin", "n", "rest"])
 
-    schema = "body array<string>, begin array<string>, n bigint"
     # Shapes of one beginning meet in one partition, so that the partial templates are nearly final.
-    local = shapes.repartition(F.substring("shape", 1, 2)).mapInPandas(partition, schema)
-    return local.groupBy(F.array_join(F.slice("begin", 1, 2), "").alias("lead")).applyInPandas(final, schema)
+    local = shapes.repartition(F.substring("shape", 1, 2)).mapInPandas(partition, "body array<string>, begin array<string>, begins array<array<string>>, counts array<bigint>, n bigint")
+    return local.groupBy(F.array_join(F.slice("begin", 1, 2), "").alias("lead")).applyInPandas(final, "body array<string>, begin array<string>, n bigint, rest boolean")
 
 
 @dataclass(frozen=True)
@@ -219,9 +268,13 @@ def classify(begin: tuple[str, ...]) -> Head | None:
 
 
 def heads_of(templates: DataFrame) -> list[Head]:
-    """The record heads, longest pattern first. Templates are a model of a few dozen rows, whatever the number of lines."""
-    found = {h for r in templates.select("begin").collect() if r["begin"] and (h := classify(tuple(r["begin"]))) is not None}
-    return sorted(found, key=lambda h: (h.kind != "json", -len(h.pattern), h.pattern))
+    """The record heads, longest pattern first, and after them those of the templates' rests. Templates are a model of a few dozen
+    rows, whatever the number of lines."""
+    found: dict[Head, bool] = {}
+    for r in templates.select("begin", "rest").collect():
+        if r["begin"] and (h := classify(tuple(r["begin"]))) is not None:
+            found[h] = found.get(h, True) and r["rest"]
+    return sorted(found, key=lambda h: (found[h], h.kind != "json", -len(h.pattern), h.pattern))
 
 
 def _level(raw: Column, kind: str) -> Column:

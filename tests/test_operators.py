@@ -95,6 +95,27 @@ def test_records_of_several_layouts(spark):
     assert templates.records(file_rows(spark, {"/a": ["x"]}).where("false")).count() == 0
 
 
+def test_a_rare_line_does_not_shorten_a_head(spark):
+    stamp = "2023-01-04 02:35:41,396"
+    said = ["sent 3 mails", "x: y 2 z", "a | b - c", "done", "value [q] for 4"]
+    lines = [f"{stamp} INFO [worker-{i % 7}] app.slots.Mailer - {said[i % 5]}" for i in range(300)]
+    for cut in (f"{stamp} INFO [worker-3", f"{stamp} INFO [worker-3] app", f"{stamp} INFO [worker-3] odd line = of 4 (five) words"):
+        got = {r["line_id"]: tuple(r)[1:] for r in templates.records(file_rows(spark, {"/a": lines, "/b": [cut, *lines[:3]]})).collect()}
+        want = {i + 1: (1, "2023-01-04 02:35:41", "INFO", "app.slots.Mailer", said[(i if i < 300 else i - 301) % 5]) for i in range(304) if i != 300}
+        assert {i: r for i, r in got.items() if i != 301} == want
+        assert got[301][:3] == (1, "2023-01-04 02:35:41", "INFO")
+
+
+def test_counted_beginnings():
+    end = templates.END
+    lines = [(("a", "b", "-", str(i), "x", end), 1) for i in range(500)] + [(("a", "b", end), 1), (("a", "c", end), 2), (("a", "d", "e", "f", end), 1)]
+    assert templates.beginnings(lines)[0] == (("a", "b", "-"), 500)
+    assert sum(k for _, k in templates.beginnings(lines)) == 504
+    few = templates.pruned(lines)
+    assert len(few) < 10 and sum(k for _, k in few) == 504 and templates.beginnings(few)[0] == (("a", "b", "-"), 500)
+    assert templates.beginnings([(("a", "b", "c", end), 50), (("a", "d", "e", "f", end), 50)]) == [(("a",), 100)]
+
+
 def test_longest_common_subsequence():
     rnd = random.Random(1)
 
