@@ -437,6 +437,22 @@ def file_text_line(spark, d):
     return _displayed(spark, d).where(source_uri("source").isNotNull()).select("entry_id", formats.text_line(with_code=False).alias("line"))
 
 
+def _whole(spark, d):
+    return enriched(spark, d).where("content is not null").where(source_uri("source").isNotNull())
+
+
+@query(None)
+def pretty_line_whole(spark, d):
+    """As pretty_line, with the latency; without SQL, since the two engines round its display differently."""
+    return _whole(spark, d).select("entry_id", formats.text_line().alias("line"))
+
+
+@query(None)
+def file_text_line_whole(spark, d):
+    """As file_text_line, with the latency; without SQL, since the two engines round its display differently."""
+    return _whole(spark, d).select("entry_id", formats.text_line(with_code=False).alias("line"))
+
+
 @query(f"select content as line, count(*) as n from {E} where content is not null group by content")
 def raw_line(spark, d):
     return formats.render(enriched(spark, d), "raw").where("value is not null").groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))

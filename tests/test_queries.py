@@ -30,3 +30,12 @@ def test_pairs_of_every_line(spark, tmp_path):
     got = sorted((tuple(r) for r in registered.queries()["kv_fields"](spark, at).collect()), key=repr)
     assert got == [(0, "a", "INFO", 3), (1, "b", None, 2), (2, "007", "WARN", 3), (5, "", None, 1)]
     assert got == by_sql("kv_fields", at)
+
+
+def test_text_lines_with_their_latency(spark, tmp_path):
+    at = folder(spark, tmp_path, ["ERROR E1234 took 1500us", "INFO latency=12.345 done", "no time"])
+    head = "[2023-01-01 00:00:00.000] [tcp://127.0.0.1:1]"
+    for name, code in (("pretty_line_whole", " [code:E1234]"), ("file_text_line_whole", "")):
+        got = {r["entry_id"]: r["line"] for r in registered.queries()[name](spark, at).collect()}
+        assert got[0].startswith(f"{head} [ERROR]{code}") and " [1.50ms]" in got[0] and got[0].endswith(" ERROR E1234 took 1500us")
+        assert got[1].startswith(f"{head} [INFO]") and len(got) == 3 and got[2] == f"{head} no time"
