@@ -39,3 +39,12 @@ def test_text_lines_with_their_latency(spark, tmp_path):
         got = {r["entry_id"]: r["line"] for r in registered.queries()[name](spark, at).collect()}
         assert got[0].startswith(f"{head} [ERROR]{code}") and " [1.50ms]" in got[0] and got[0].endswith(" ERROR E1234 took 1500us")
         assert got[1].startswith(f"{head} [INFO]") and len(got) == 3 and got[2] == f"{head} no time"
+
+
+def test_every_row_of_the_metrics(spark, tmp_path):
+    at = folder(spark, tmp_path, ["ERROR took 1500us", "INFO latency=12.5", "login failed <script>", None])
+    got = sorted((tuple(r) for r in registered.queries()["metrics_all"](spark, at).collect()), key=repr)
+    values = {r[::2]: r[3] for r in got}
+    assert values["logs_received_total", ""] == 4 and values["processing_errors_total", ""] == 0 and values["security_flags_total", "Xss"] == 1
+    assert values["latency_ms_sum", ""] == 14 and values["latency_ms_count", ""] == 2 and [values["latency_ms_bucket", str(b)] for b in (1, 5, 10, 25, 5000, "+Inf")] == [0, 1, 1, 2, 2, 2]
+    assert got == by_sql("metrics_all", at)
