@@ -20,6 +20,8 @@ class NamedPattern:
 class General:
     log_level: str = "info"
     buffer_size: int = 10_000
+    batch_millis: int = 1_000
+    checkpoint: str = ""
 
 
 @dataclass
@@ -71,6 +73,7 @@ class PerformanceMetrics:
     latency_patterns: list[str] = field(default_factory=lambda: [r"took (?P<duration>\d+)(?P<unit>ms|s|us)", r"latency[=:]\s*(?P<duration>\d+\.?\d*)(?P<unit>ms|s)?"])
     windows: list[str] = field(default_factory=lambda: ["1m", "5m", "15m"])
     percentiles: list[int] = field(default_factory=lambda: [50, 90, 95, 99])
+    report_seconds: int = 60
 
 
 @dataclass

@@ -1,8 +1,8 @@
-"""Small column helpers shared by the operators: the URI of a source, its kind, presence of a column."""
+"""Small column helpers shared by the operators: the URI of a source, its kind."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -26,7 +26,3 @@ def source_key(source: Column | str = "source") -> Column:
 def micros(ts: Column | str) -> Column:
     """Microseconds since the epoch, from an instant or an NTZ column taken as UTC."""
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
-
-
-def has(df: DataFrame, name: str) -> bool:
-    return name in df.columns

@@ -11,13 +11,16 @@ from .security import debug_name
 # Upper bounds of the latency buckets in milliseconds.
 LATENCY_BUCKETS = (1, 5, 10, 25, 50, 100, 250, 500, 1000, 5000)
 
+# Upper bounds of the buckets of processing times in seconds.
+DURATION_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+
 #: Families by name: type and help.
 FAMILIES = {
     "logs_received_total": ("counter", "Lines received"),
     "logs_processed_total": ("counter", "Lines processed"),
     "logs_by_level_total": ("counter", "Lines by level"),
     "logs_by_source_total": ("counter", "Lines by kind of source"),
-    "processing_duration_seconds": ("histogram", "Time to process a batch"),
+    "processing_duration_seconds": ("histogram", "Time to process a line, as its share of its batch"),
     "processing_errors_total": ("counter", "Errors of modules"),
     "security_flags_total": ("counter", "Security flags by flag"),
     "latency_extracted_total": ("counter", "Lines with a latency"),
@@ -54,25 +57,27 @@ def _sample(metric: str, label: str, value: Column | str, n: Column | float = 1.
 
 def metrics(enriched: DataFrame) -> DataFrame:
     """Everything that a batch of enriched lines says, in long form, from one pass: each line gives a handful of samples, which
-    are summed on the map side. Counters without a line are zero."""
+    are summed on the map side. A line with an `error` counts as received and as an error only. Counters without a line are zero."""
     ok = F.col("error").isNull() if "error" in enriched.columns else F.lit(True)
     ms = F.col("latency_ms")
     bucket = F.lit("+Inf")
     for b in reversed(LATENCY_BUCKETS):
         bucket = F.when(ms <= b, str(b)).otherwise(bucket)
     kind = source_kind(F.coalesce(source_uri("source"), F.lit("")))
+    timed = ok & ms.isNotNull()
     plain = F.array(
         _sample("logs_received_total", "", ""),
         _sample("logs_processed_total", "", "", ok.cast("double")),
         _sample("processing_errors_total", "", "", (~ok).cast("double")),
-        F.when(F.col("level").isNotNull(), _sample("logs_by_level_total", "level", F.col("level"))),
-        _sample("logs_by_source_total", "source", kind),
-        F.when(ms.isNotNull(), _sample("latency_extracted_total", "", "")),
-        F.when(ms.isNotNull(), _sample("latency_ms_bucket", "le", bucket)),
-        F.when(ms.isNotNull(), _sample("latency_ms_sum", "", "", ms)),
-        F.when(ms.isNotNull(), _sample("latency_ms_count", "", "")),
+        F.when(ok & F.col("level").isNotNull(), _sample("logs_by_level_total", "level", F.col("level"))),
+        F.when(ok, _sample("logs_by_source_total", "source", kind)),
+        F.when(timed, _sample("latency_extracted_total", "", "")),
+        F.when(timed, _sample("latency_ms_bucket", "le", bucket)),
+        F.when(timed, _sample("latency_ms_sum", "", "", ms)),
+        F.when(timed, _sample("latency_ms_count", "", "")),
     )
-    flags = F.transform(F.coalesce("security_flags", F.array().cast("array<struct<flag:string,pattern_name:string>>")), lambda f: _sample("security_flags_total", "flag", debug_name(f)))
+    none_of = F.array().cast("array<struct<flag:string,pattern_name:string>>")
+    flags = F.transform(F.when(ok, F.coalesce("security_flags", none_of)).otherwise(none_of), lambda f: _sample("security_flags_total", "flag", debug_name(f)))
     samples = enriched.select(F.explode(F.concat(F.array_compact(plain), flags)).alias("x")).select("x.*")
     zero = [(m, "", "", 0.0) for m in ("logs_received_total", "logs_processed_total", "processing_errors_total", "latency_extracted_total", "latency_ms_sum", "latency_ms_count")]
     zero += [("latency_ms_bucket", "le", str(b), 0.0) for b in (*LATENCY_BUCKETS, "+Inf")]
@@ -85,8 +90,9 @@ def metrics(enriched: DataFrame) -> DataFrame:
 
 
 def output_bytes(lines: DataFrame, line: str, output: str) -> DataFrame:
-    """Bytes of the lines with their line ends."""
-    return _plain(lines, "output_bytes_total", F.coalesce(F.sum(F.octet_length(line) + 1), F.lit(0))).withColumns({"label": F.lit("output"), "label_value": F.lit(output)})
+    """Bytes of the lines with their line ends; `line` may also be a column of sizes."""
+    size = F.octet_length(line) if dict(lines.dtypes)[line] == "string" else F.col(line)
+    return _plain(lines, "output_bytes_total", F.coalesce(F.sum(size + 1), F.lit(0))).withColumns({"label": F.lit("output"), "label_value": F.lit(output)})
 
 
 def exposition(samples: DataFrame, prefix: str = "logloom") -> DataFrame:

@@ -27,11 +27,7 @@ PATH_TRAVERSAL = (
     "../", "..\\", "..\\/", "..%2f", "..%5c", "%2e%2e/", "%2e%2e\\", "..%c0%af", "..%c1%9c", "/etc/passwd", "/etc/shadow", "/etc/hosts", "/proc/self", "/var/log",
     "\\windows\\system32", "\\boot.ini", "\\win.ini", "web.config", ".htaccess", ".htpasswd", "%00", "\0",
 )
-AUTH_FAILURES = (
-    r"authentication\s+fail", r"auth\s+fail", r"login\s+fail", r"invalid\s+(?:password|credential|token|api.?key)", "unauthorized", r"access\s+denied", r"permission\s+denied",
-    "forbidden", r"401\s+unauthorized", r"403\s+forbidden", r"invalid\s+user", r"unknown\s+user", r"bad\s+password", r"wrong\s+password", r"incorrect\s+password",
-    r"password\s+incorrect", r"failed\s+login", r"login\s+attempt", r"brute\s*force", r"too\s+many\s+attempts", r"account\s+locked", r"session\s+expired", r"token\s+expired", r"jwt\s+expired",
-)
+AUTH_FAILURE = r"(?i)(authentication\s+fail|auth\s+fail|login\s+fail|invalid\s+(password|credential|token|api.?key)|unauthorized|access\s+denied|permission\s+denied|forbidden|401\s+unauthorized|403\s+forbidden|invalid\s+user|unknown\s+user|bad\s+password|wrong\s+password|incorrect\s+password|password\s+incorrect|failed\s+login|login\s+attempt|brute\s*force|too\s+many\s+attempts|account\s+locked|session\s+expired|token\s+expired|jwt\s+expired)"
 CARD = r"\b(?:\d{4}[-\s]?){3}\d{1,4}\b"
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
 SECRET = r"(?i)(api[_-]?key|api[_-]?secret|access[_-]?token|auth[_-]?token|bearer|private[_-]?key|secret[_-]?key)\s*[=:]\s*['\"]?([a-zA-Z0-9_-]{20,})['\"]?"
@@ -50,7 +46,7 @@ def any_of(literals: Iterable[str]) -> str:
     return "(?i)(?:" + "|".join(map(quoted, literals)) + ")"
 
 
-SQL_INJECTION_RE, XSS_RE, PATH_RE, AUTH_RE = any_of(SQL_INJECTION), any_of(XSS), any_of(PATH_TRAVERSAL), "(?i)(?:" + "|".join(AUTH_FAILURES) + ")"
+SQL_INJECTION_RE, XSS_RE, PATH_RE = any_of(SQL_INJECTION), any_of(XSS), any_of(PATH_TRAVERSAL)
 
 
 def has_pii(content: Column) -> Column:
@@ -68,7 +64,7 @@ def flags_of(content: Column, config: Security | None = None) -> Column:
     c = config or Security(enabled=True)
     plain = [
         (c.detect_sql_injection, SQL_INJECTION_RE, "sql_injection"), (c.detect_xss, XSS_RE, "xss"),
-        (c.detect_path_traversal, PATH_RE, "path_traversal"), (c.detect_auth_failures, AUTH_RE, "auth_failure"),
+        (c.detect_path_traversal, PATH_RE, "path_traversal"), (c.detect_auth_failures, AUTH_FAILURE, "auth_failure"),
     ]
     flag = lambda name, pattern: F.struct(F.lit(name).alias("flag"), pattern.alias("pattern_name"))
     none = F.lit(None).cast("string")

@@ -3,10 +3,11 @@ whole chain is one projection that Spark fuses; it reads the content only, so th
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Config, Modules
 from ..errors import PipelineError
@@ -38,8 +39,48 @@ def security_module(config: Modules) -> Module:
     return lambda df: security.with_security_flags(df, config.security)
 
 
+ERROR = "error"
+
+
+def row_module(fn: Callable[[dict], dict], inputs: Sequence[str], outputs: T.StructType | str) -> Module:
+    """A module from a Python function of a line, given as a dict of `inputs`, to a dict of `outputs`. A line for which it raises has
+    its message in `error`, nulls in the outputs, and is left alone by later modules of this kind; the other lines go on."""
+    kind = outputs if isinstance(outputs, T.StructType) else T._parse_datatype_string(outputs)
+    names = kind.names
+    result = T.StructType([*kind.fields, T.StructField(ERROR, T.StringType())])
+
+    @F.pandas_udf(result)
+    def run(rows):  # Arrow batches; no type hints: Spark's default is Series to Series, here frames
+        import pandas as pd
+
+        out = []
+        for row in rows.to_dict("records"):
+            if row.pop(ERROR, None) is not None:
+                out.append(None)
+                continue
+            try:
+                made = fn(row)
+                out.append({**{n: made.get(n) for n in names}, ERROR: None})
+            except Exception as e:  # one line fails, not the batch
+                out.append({**dict.fromkeys(names), ERROR: f"{type(e).__name__}: {e}"})
+        blank = dict.fromkeys([*names, ERROR])
+        return pd.DataFrame([x or blank for x in out], columns=[*names, ERROR])
+
+    def module(df: DataFrame) -> DataFrame:
+        before = F.col(ERROR) if ERROR in df.columns else F.lit(None).cast("string")
+        made = df.withColumn("_made", run(F.struct(*inputs, before.alias(ERROR))))
+        return made.withColumns({**{n: F.col(f"_made.{n}") for n in names}, ERROR: F.coalesce(before, F.col(f"_made.{ERROR}"))}).drop("_made")
+
+    return module
+
+
+def without_errors(df: DataFrame) -> DataFrame:
+    """The lines that every module could read, as outputs get them."""
+    return df.where(F.col(ERROR).isNull()).drop(ERROR) if ERROR in df.columns else df
+
+
 class Pipeline:
-    """Modules by name, in order."""
+    """Modules by name, in order. A module that can't be built is an error; lines that one can't read have an `error`."""
 
     def __init__(self) -> None:
         self._modules: list[tuple[str, Module]] = []

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +14,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import LogloomError
+
 #: SQL settings that decide results: zone-free rendering, last-wins map keys, duplicate JSON keys as the last one.
 RESULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,12 +50,15 @@ def _ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where none is set, as in tests."""
+    """The shared folder the cluster names. Where none is set, one of our own, which only a session whose executors all run in this
+    very process can have; elsewhere a folder of this machine would lose data, so that is an error."""
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise LogloomError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "logloom-checkpoint"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -60,6 +67,8 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder: computed once, read by any executor, also after others are lost."""
     at = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    if not _WRITTEN:
+        atexit.register(_drop_at_end, df.sparkSession)
     _WRITTEN.append(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
@@ -75,6 +84,15 @@ def drop_materialised(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def _drop_at_end(spark: SparkSession) -> None:
+    """Tables of this process go with it, if its session still stands; else they stay below the checkpoint folder."""
+    try:
+        if spark.sparkContext._jsc is not None:
+            drop_materialised(spark)
+    except Exception:  # the session has ended
+        _WRITTEN.clear()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the driver's tables; NTZ columns become instants in UTC."""
     prepare(spark)

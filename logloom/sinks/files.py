@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import FileOutput
@@ -47,30 +47,59 @@ def with_rotation(df: DataFrame, rotation: str, zone: str = "UTC") -> tuple[Data
     return df, {"daily": ["date"], "hourly": ["date", "hour"]}.get(kind, [])
 
 
-def write_lines(enriched: DataFrame, config: FileOutput, mode: str = "append") -> None:
-    """Append the lines below the configured path. Rotation by size bounds the lines a file, from the mean length of a line."""
+def write_lines(enriched: DataFrame, config: FileOutput, mode: str = "append") -> int:
+    """Append the lines below the configured path and return their bytes. Rotation by size bounds the lines a file, from the mean
+    length of a line."""
     dated, by = with_rotation(enriched, config.rotation, config.zone)
     lines = dated.select(*by, file_line(dated, config.format).alias("value"))
-    writer = lines.write.mode(mode).option("compression", "gzip" if config.compress else "none")
+    written = Observation()
+    observed = lines.observe(written, F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes"))
+    writer = observed.write.mode(mode).option("compression", "gzip" if config.compress else "none")
     if rotation_of(config.rotation) == "size":
         mean = lines.agg(F.avg(F.octet_length("value") + 1)).first()[0] or 1
         writer = writer.option("maxRecordsPerFile", max(1, int(parse_size(config.max_size) / mean)))
     (writer.partitionBy(*by) if by else writer).text(config.path)
+    return written.get["bytes"]
 
 
 def file_line(df: DataFrame, fmt: str) -> Column:
     return text_line(with_code=False) if file_format(fmt) == "text" else json_line(df)
 
 
-def keep_newest(files: list[tuple[str, float]], stem: str, keep: int) -> list[str]:
-    """The files to remove: those named after the stem with a known ending, but for the `keep` newest."""
-    mine = [(m, f) for f, m in files if re.match(re.escape(stem), Path(f).name) and Path(f).suffix in (".log", ".jsonl", ".gz")]
-    return [f for _, f in sorted(mine, reverse=True)[keep:]]
-
-
-def retain(folder: str, stem: str, keep: int) -> list[str]:
-    """Remove all but the newest files of a folder; what was removed."""
-    gone = keep_newest([(str(p), p.stat().st_mtime) for p in Path(folder).iterdir() if p.is_file()], stem, keep)
-    for f in gone:
-        Path(f).unlink()
+def beyond_newest(files: DataFrame, keep: int, at: str, tie: str, groups: Sequence[str] = ()) -> DataFrame:
+    """The rows of a listing that retention removes: all but the `keep` newest of each group. A row listed twice counts once."""
+    own = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc(at), F.desc(tie)))
+    return files.dropDuplicates([*groups, tie]).withColumn("_newer", own).where(F.col("_newer") > keep).drop("_newer")
+
+
+def listing(spark: SparkSession, config: FileOutput) -> DataFrame:
+    """What a rotation has made below the path, as unit and mtime: the folders of days or hours, or the files of a rotation by size.
+    A listing has a row a file, whatever the files hold."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(config.path)
+    fs = root.getFileSystem(conf)
+    units: dict[str, int] = {}
+    if fs.exists(root):
+        found = fs.listFiles(root, True)
+        while found.hasNext():
+            f = found.next()
+            path = f.getPath()
+            if path.getName().startswith(("_", ".")):
+                continue
+            unit = (path if rotation_of(config.rotation) == "size" else path.getParent()).toString()
+            units[unit] = max(units.get(unit, 0), f.getModificationTime())
+    return spark.createDataFrame(list(units.items()), "unit string, mtime bigint")
+
+
+def retain(spark: SparkSession, config: FileOutput) -> list[str]:
+    """Remove all but the `max_files` newest days, hours or files below the path; what was removed. Without rotation all stays."""
+    if rotation_of(config.rotation) == "none":
+        return []
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    # Folders are named by their time, which late lines written into an old one don't change.
+    order = "mtime" if rotation_of(config.rotation) == "size" else "unit"
+    gone = [r["unit"] for r in beyond_newest(listing(spark, config), config.max_files, order, "unit").collect()]
+    for unit in gone:
+        path = jvm.org.apache.hadoop.fs.Path(unit)
+        path.getFileSystem(conf).delete(path, True)
     return gone

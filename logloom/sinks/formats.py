@@ -21,10 +21,15 @@ def _boxed(c: Column | str) -> Column:
     return F.concat(F.lit("["), F.col(c) if isinstance(c, str) else c, F.lit("]"))
 
 
+def two_digits(v: Column) -> Column:
+    """With two digits after the point, rounded from the exact binary value, a tie to the even digit."""
+    return F.call_function("format_number", v, F.lit("0.00"))
+
+
 def text_line(with_code: bool = True) -> Column:
     """`[time] [source] [LEVEL] [code:X] [n.nnms] [SECURITY:A,B] content`; what is absent is left out. Files leave out the code."""
     code = [F.when(F.col("error_code").isNotNull(), F.concat(F.lit("[code:"), F.col("error_code"), F.lit("]")))] if with_code else []
-    latency = F.when(F.col("latency_ms").isNotNull(), F.concat(F.lit("["), F.format_string("%.2f", F.col("latency_ms")), F.lit("ms]")))
+    latency = F.when(F.col("latency_ms").isNotNull(), F.concat(F.lit("["), two_digits(F.col("latency_ms")), F.lit("ms]")))
     return F.concat_ws(" ", _boxed(stamp("received_at")), _boxed(source_uri("source")), _boxed("level"), *code, latency, _flags(), F.col("content"))
 
 
