@@ -5,7 +5,7 @@
 2. Each file is compared with the one before it in its feed. A field in both files with another type is `retyped`. Fields that go
    and fields that come within the same root and type are a bipartite graph, weighted by the overlap of their value sketches and,
    to settle ties, the likeness of their names; the best assignment gives the renamed fields. The rest was added or removed.
-3. Chains of renames give each field one column for all files of the feed; records are read into those columns.
+3. Chains of renames give each field one column for all files of the feed; records are read into those columns, by one type each.
 
 What is matched or chained in one task are fields, never records.
 
@@ -20,51 +20,63 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise
+from ..session import broadcast_if_small, materialise
 
 #: Share of the smaller field's values that both must carry to be one field.
 OVERLAP = 0.5
 
 
-def leaves(text: str | None) -> list[tuple[str, str, str]]:
-    """(name, type, value) of each leaf of a JSON object; fields of nested objects are written with a dot."""
+#: Levels of nesting that are opened in the engine itself; what lies deeper, as a rule nothing, goes through Python.
+LEVELS = 4
+
+
+def kind_of(value: Column) -> Column:
+    """The type of a JSON value; null for null, `object` for an object. JSON integers come as BIGINT, or beyond it as decimals of more
+    than 18 digits; a decimal like 1.0 has fewer."""
+    t = F.schema_of_variant(value)
+    digits = F.regexp_extract(t, r"^DECIMAL\((\d+),0\)$", 1).try_cast("int")
+    return (
+        F.when(t == "STRING", "text").when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer").when(t == "BOOLEAN", "boolean").when(digits > 18, "integer")
+        .when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), "fraction").when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object")
+    )
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("name", "json")])))
+def deep_leaves(texts):
+    """Names, with dots, and JSON of the leaves of objects."""
     import json
 
-    try:
-        top = json.loads(text) if text else None
-    except ValueError:
-        return []
-    if not isinstance(top, dict):
-        return []
-    out, todo = [], [("", top)]
-    while todo:
-        before, d = todo.pop()
+    def flat(before, d):
         for k, v in d.items():
             if isinstance(v, dict):
-                todo.append((f"{before}{k}.", v))
-            elif isinstance(v, bool):
-                out.append((before + k, "boolean", "true" if v else "false"))
-            elif isinstance(v, int):
-                out.append((before + k, "integer", str(v)))
-            elif isinstance(v, float):
-                out.append((before + k, "fraction", repr(v)))
-            elif isinstance(v, str):
-                out.append((before + k, "text", v))
-            elif isinstance(v, list):
-                out.append((before + k, "array", json.dumps(v, sort_keys=True)))
-    return out
-
+                yield from flat(f"{before}{k}.", v)
+            else:
+                yield {"name": before + k, "json": json.dumps(v)}
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("name", "type", "value")])))
-def leaves_of(s):
-    return s.map(leaves)
+    return texts.map(lambda t: list(flat("", json.loads(t))))
 
 
 def fields(records: DataFrame) -> DataFrame:
-    """A row for each non-null leaf: record_id, file_id, root, name, type, value."""
-    meta = F.transform(F.map_entries(F.coalesce("metadata", F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("name"), F.lit("text").alias("type"), e["value"].alias("value")))
-    both = F.array(F.struct(F.lit("structured").alias("root"), leaves_of(F.col("structured")).alias("x")), F.struct(F.lit("metadata").alias("root"), F.filter(meta, lambda e: e["value"].isNotNull()).alias("x")))
-    return records.select("record_id", "file_id", F.explode(both).alias("r")).select("record_id", "file_id", "r.root", F.explode("r.x").alias("x")).select("record_id", "file_id", "root", "x.*")
+    """A row for each non-null leaf: record_id, file_id, root, name, type, value (text) and json (VARIANT)."""
+    tvf = records.sparkSession.tvf
+    ids = ["record_id", "file_id"]
+    # Each level opens the objects of the one before it, by one pass over the records.
+    rows = records.select(*ids, F.try_parse_json(F.col("structured")).alias("_top")).lateralJoin(tvf.variant_explode(F.col("_top").outer())).where("key is not null")
+    rows = rows.select(*ids, F.col("key").alias("name"), F.col("value").alias("json")).withColumn("type", kind_of(F.col("json")))
+    for _ in range(LEVELS - 1):
+        inner = rows.withColumn("_in", F.when(F.col("type") == "object", F.col("json"))).lateralJoin(tvf.variant_explode_outer(F.col("_in").outer()))
+        opened = F.col("key").isNotNull()
+        rows = inner.select(
+            *ids, F.when(opened, F.concat_ws(".", "name", "key")).otherwise(F.col("name")).alias("name"), F.when(opened, F.col("value")).otherwise(F.col("json")).alias("json"),
+            F.when(opened, kind_of(F.col("value"))).otherwise(F.col("type")).alias("type"),
+        )
+    rows = rows.where("type is not null")
+    deep = rows.where("type = 'object'").select(*ids, "name", F.explode(deep_leaves(F.to_json("json"))).alias("x"))
+    deep = deep.select(*ids, F.concat_ws(".", "name", "x.name").alias("name"), F.try_parse_json("x.json").alias("json")).withColumn("type", kind_of(F.col("json"))).where("type is not null")
+    told = rows.where("type <> 'object'").select(*ids, "name", "json", "type").unionByName(deep)
+    structured = told.select(*ids, F.lit("structured").alias("root"), "name", "type", F.coalesce(F.try_variant_get("json", "$", "string"), F.to_json("json")).alias("value"), "json")
+    meta = records.select(*ids, F.explode("metadata").alias("name", "value")).where("value is not null")
+    return structured.unionByName(meta.select(*ids, F.lit("metadata").alias("root"), "name", F.lit("text").alias("type"), "value", F.col("value").cast("variant").alias("json")))
 
 
 def profiles(records: DataFrame) -> DataFrame:
@@ -120,6 +132,21 @@ def _likeness(a: Column, b: Column) -> Column:
 
 def changes(records: DataFrame, files: DataFrame) -> DataFrame:
     """file_id, root, change, field_before, field_after: each difference between a file and the one before it."""
+    known, gone, come, retyped = _steps(records, files)
+    renamed = _renamed(records, gone, come)
+    removed = gone.join(renamed, ["file_id", "root", "field_before"], "left_anti").select("file_id", "root", F.lit("removed").alias("change"), "field_before", F.lit("").alias("field_after"))
+    added = come.join(renamed, ["file_id", "root", "field_after"], "left_anti").select("file_id", "root", F.lit("added").alias("change"), F.lit("").alias("field_before"), "field_after")
+    return retyped.unionByName(renamed).unionByName(removed).unionByName(added)
+
+
+def _compared(records: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The profiles of all files and the renamed fields."""
+    known, gone, come, _ = _steps(records, files)
+    return known, _renamed(records, gone, come)
+
+
+def _steps(records: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The profiles, and by file the fields that went, those that came and those of another type."""
     order = Window.partitionBy("feed").orderBy("file_seq", "file_id")
     steps = files.select("file_id", "feed", "file_seq").dropDuplicates(["file_id"]).withColumn("before_id", F.lag("file_id").over(order)).where("before_id is not null")
     known = materialise(profiles(records))
@@ -129,6 +156,10 @@ def changes(records: DataFrame, files: DataFrame) -> DataFrame:
     retyped = both.where("type_now <> type_then").select("file_id", "root", F.lit("retyped").alias("change"), F.col("name").alias("field_before"), F.col("name").alias("field_after"))
     gone = both.where("type_now is null").select("file_id", "root", F.col("type_then").alias("type"), F.col("name").alias("field_before"), "then")
     come = both.where("type_then is null").select("file_id", "root", F.col("type_now").alias("type"), F.col("name").alias("field_after"), "now")
+    return known, gone, come, retyped
+
+
+def _renamed(records: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
     least = F.least(F.theta_sketch_estimate("then"), F.theta_sketch_estimate("now"))
     shared = F.theta_sketch_estimate(F.theta_intersection("then", "now")) / F.greatest(least, F.lit(1))
     edges = gone.join(come, ["file_id", "root", "type"]).withColumn("overlap", shared).where(F.col("overlap") >= OVERLAP)
@@ -147,33 +178,65 @@ def changes(records: DataFrame, files: DataFrame) -> DataFrame:
         return pd.DataFrame([(pdf["file_id"].iloc[0], pdf["root"].iloc[0], "renamed", x, y) for x, y in hit], columns=["file_id", "root", "change", "field_before", "field_after"])
 
     schema = T.StructType([records.schema["file_id"], *(T.StructField(c, T.StringType()) for c in ("root", "change", "field_before", "field_after"))])
-    renamed = materialise(edges.groupBy("file_id", "root").applyInPandas(match, schema))
-    removed = gone.join(renamed, ["file_id", "root", "field_before"], "left_anti").select("file_id", "root", F.lit("removed").alias("change"), "field_before", F.lit("").alias("field_after"))
-    added = come.join(renamed, ["file_id", "root", "field_after"], "left_anti").select("file_id", "root", F.lit("added").alias("change"), F.lit("").alias("field_before"), "field_after")
-    return retyped.unionByName(renamed).unionByName(removed).unionByName(added)
+    return materialise(edges.groupBy("file_id", "root").applyInPandas(match, schema))
 
 
-def unified(records: DataFrame, files: DataFrame) -> DataFrame:
-    """record_id, file_id, columns: every record once, its leaves as text under the column its field has in all files of the feed."""
-    renames = changes(records, files).where("change = 'renamed'").join(files.select("file_id", "feed", "file_seq").dropDuplicates(["file_id"]), "file_id")
+def chains(known: DataFrame, files: DataFrame, renames: DataFrame) -> DataFrame:
+    """The column of each field of each file, and its type: file_id, root, name, column, column_type.
+
+    A field goes on as the column it had in the file before, under its old name or as what it was renamed to; one that goes leaves its
+    column, and one that comes has a column of its own, or takes up again the one that was left by its name and type. So no two fields
+    of a file have one column. A column has the name its field had first; where another column has it, the number of the file is
+    added. Its type is that of all its fields, `fraction` for both kinds of numbers and `text` for any other mixture.
+    """
+    of_file = files.select("file_id", "feed", "file_seq").dropDuplicates(["file_id"])
+    before = renames.select("file_id", "root", F.col("field_after").alias("name"), F.col("field_before").alias("before"))
+    rows = known.select("file_id", "root", "name", "type").join(of_file, "file_id").join(before, ["file_id", "root", "name"], "left")
 
     def chain(pdf):
         import pandas as pd
 
-        first: dict[str, str] = {}
-        rows = []
-        for seq, part in pdf.sort_values("file_seq").groupby("file_seq"):
-            step = {y: first.get(x, x) for x, y in zip(part["field_before"], part["field_after"], strict=True)}
-            first.update(step)
-            rows += [(pdf["feed"].iloc[0], pdf["root"].iloc[0], y, c, int(seq)) for y, c in step.items()]
-        return pd.DataFrame(rows, columns=["feed", "root", "name", "column", "since"])
+        out, types, used = [], {}, set()
+        active: dict[str, str] = {}  # name in the latest file to column
+        left: dict[tuple[str, str], str] = {}  # name and type of a field that went to its column
+        for _, part in pdf.sort_values(["file_seq", "file_id", "name"]).groupby(["file_seq", "file_id"], sort=True):
+            now: dict[str, str] = {}
+            fields = list(zip(part["file_id"], part["root"], part["name"], part["type"], part["before"], part["file_seq"], strict=True))
+            for _, _, name, _, old, _ in fields:  # fields that go on come first
+                source = old if isinstance(old, str) else name
+                if source in active and (isinstance(old, str) or name not in {x for *_, x, _ in fields if isinstance(x, str)}):
+                    now[name] = active[source]
+            for file_id, root, name, kind, _, seq in fields:
+                if name not in now:
+                    column = left.get((name, kind))
+                    if column is None or column in now.values():
+                        column = name if name not in used else f"{name}@{seq}"
+                        while column in used:
+                            column += "+"
+                    used.add(column)
+                    now[name] = column
+                types.setdefault(now[name], set()).add(kind)
+                out.append((file_id, root, name, now[name]))
+                left[name, kind] = now[name]
+            active = now
+        one = {c: next(iter(t)) if len(t) == 1 else "fraction" if t == {"integer", "fraction"} else "text" for c, t in types.items()}
+        return pd.DataFrame([(*r, one[r[3]]) for r in out], columns=["file_id", "root", "name", "column", "column_type"])
+
+    kind = T.StructType([known.schema["file_id"], *(T.StructField(c, T.StringType()) for c in ("root", "name", "column", "column_type"))])
+    return rows.groupBy("feed", "root").applyInPandas(chain, kind)  # fields of files, not records
 
-    columns = renames.select("feed", "root", F.col("file_seq").cast("bigint").alias("file_seq"), "field_before", "field_after").groupBy("feed", "root").applyInPandas(chain, "feed string, root string, name string, column string, since bigint")
-    of_file = files.select("file_id", "feed", "file_seq").dropDuplicates(["file_id"])
-    named = of_file.join(columns, "feed").where("since <= file_seq").groupBy("file_id", "root", "name").agg(F.max_by("column", "since").alias("column"))
-    flat = fields(records.dropDuplicates(["record_id"])).join(named, ["file_id", "root", "name"], "left")
+
+def unified(records: DataFrame, files: DataFrame) -> DataFrame:
+    """record_id, file_id, columns: every record once, its leaves as a VARIANT object under the column, and of the type, that each has
+    in all files of the feed. Fields of files that aren't listed keep their names."""
+    every = records.dropDuplicates(["record_id"])
+    known, renames = _compared(records, files)
+    named = materialise(chains(known, files, renames))
+    flat = fields(every).join(broadcast_if_small(named), ["file_id", "root", "name"], "left")
+    kind = F.col("column_type")
+    number = F.try_variant_get("json", "$", "double")
+    value = F.when((kind == "fraction") & (F.col("type") == "integer"), number.cast("variant")).when((kind == "text") & (F.col("type") != "text"), F.col("value").cast("variant")).otherwise(F.col("json"))
     key = F.concat_ws(".", "root", F.coalesce("column", "name"))
-    held = flat.groupBy("record_id", "file_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key.alias("key"), "value")))).alias("columns"))
-    empty = F.create_map().cast("map<string,string>")
-    every = records.select("record_id", "file_id").dropDuplicates(["record_id"])
-    return every.join(held, ["record_id", "file_id"], "left").withColumn("columns", F.coalesce("columns", empty))
+    held = flat.groupBy("record_id").agg(F.to_variant_object(F.map_from_entries(F.collect_list(F.struct(key.alias("key"), value.alias("value"))))).alias("columns"))
+    empty = F.parse_json(F.lit("{}"))
+    return every.select("record_id", "file_id").join(held, "record_id", "left").withColumn("columns", F.coalesce("columns", empty))

@@ -29,8 +29,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All records in one table, with the names their fields had first."""
-    return drift.unified(read(spark, sf_dir, "output_records"), read(spark, sf_dir, "output_files"))
+    """All records in one table, with the names their fields had first and one type a column; the columns as JSON."""
+    return drift.unified(read(spark, sf_dir, "output_records"), read(spark, sf_dir, "output_files")).withColumn("columns", F.to_json("columns"))
+
+
+def p4_values_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By file: the records, and the values they have after unification, which must be all that they had before."""
+    kept = p4_unified(spark, sf_dir).select("file_id", F.coalesce(F.json_array_length(F.to_json(F.json_object_keys("columns"))), F.lit(0)).alias("n"))
+    return kept.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n").cast("bigint").alias("n_values"))
+
+
+def p4_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changes are told from: the fields of each file and the number of their values by type."""
+    leaves = drift.fields(read(spark, sf_dir, "output_records").dropDuplicates(["record_id"]))
+    return leaves.groupBy("file_id", "root", "name", "type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_distinct"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +50,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_templates, p4_found, p4_unified, p6_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_templates, p4_found, p4_unified, p4_values_kept, p4_profiles, p6_found)}
+
+
+#: Leaves of the JSON objects and of the metadata, each record once.
+LEAVES = """with r as (select distinct record_id, file_id, structured, metadata from output_records),
+    t as (select record_id, file_id, 'structured' as root, replace(replace(e.fullkey, '$.', ''), '"', '') as name,
+                 case e.type when 'BOOLEAN' then 'boolean' when 'BIGINT' then 'integer' when 'UBIGINT' then 'integer' when 'HUGEINT' then 'integer' when 'DOUBLE' then 'fraction' when 'VARCHAR' then 'text' when 'ARRAY' then 'array' end as type,
+                 json_extract_string(e.value, '$') as value
+          from (select * from r where json_valid(structured) and structured like '{%'), json_tree(structured) e where e.type not in ('OBJECT', 'NULL') and not contains(e.fullkey, '[')),
+    l as (select * from t union all select record_id, file_id, 'metadata', unnest(map_keys(metadata)), 'text', unnest(map_values(metadata)) from r)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_values_kept": f"{LEAVES} select file_id, count(*) as n_records, cast(sum(coalesce(n, 0)) as bigint) as n_values from r left join (select record_id, count(*) as n from l where value is not null group by record_id) using (record_id) group by file_id",
+        "p4_profiles": f"{LEAVES} select file_id, root, name, type, count(*) as n, count(distinct value) as n_distinct from l where value is not null group by all",
+    }

@@ -1,6 +1,7 @@
 """The data-preparation operators of the core on small inputs, against brute force and on the rows that break things."""
 
 import datetime as dt
+import json
 import random
 
 import numpy as np
@@ -152,11 +153,46 @@ def test_schema_changes(spark):
         ("structured", "renamed", "user", "UserId"), ("structured", "retyped", "n", "n"), ("structured", "retyped", "ok", "ok"),
     ])
     assert {x[2] for x in got if x[0] == 3} == {"removed"} and {x[0] for x in got} == {2, 3}
-    table = {r["record_id"]: r["columns"] for r in drift.unified(df.unionByName(df), files).collect()}
-    assert len(table) == 20 and table[11]["structured.user"] == "1001" and table[11]["metadata.Host"] == "h1" and table[20] == {} and table[30] == {"structured.a": "1"}
+    table = {r["record_id"]: json.loads(r["c"]) for r in drift.unified(df.unionByName(df), files).select("record_id", F.to_json("columns").alias("c")).collect()}
+    assert len(table) == 20 and table[11]["structured.user"] == "1001" and table[11]["metadata.Host"] == "h1" and table[20] == {} and table[30] == {"structured.a": 1}
+    assert table[1]["structured.n"] == 1.0 and table[1]["structured.ok"] == "true" and table[11]["structured.ok"] == "1" and table[1]["structured.old"] == [1]
     assert drift.changes(df.where("false"), files).count() == 0
 
 
+def unify(spark, files):
+    """The unified records of one feed's files, given as lists of JSON texts."""
+    listed = spark.createDataFrame([(i, "f", i) for i in range(len(files))], "file_id long, feed string, file_seq int")
+    rows = [(100 * i + k, i, x, None, "clash") for i, part in enumerate(files) for k, x in enumerate(part)]
+    got = drift.unified(spark.createDataFrame(rows, RECORDS), listed).select("record_id", F.to_json("columns").alias("c"))
+    return {r["record_id"]: json.loads(r["c"]) for r in got.collect()}
+
+
+def test_fields_that_change_places_keep_their_values(spark):
+    of = lambda **k: [json.dumps({n: f"{v}{i}" for n, v in k.items()}) for i in range(6)]
+    got = unify(spark, [of(a="v"), of(b="v"), of(b="v", a="other"), of(b="v", a="other")])
+    assert got[200] == {"structured.a": "v0", "structured.a@2": "other0"} and got[305] == {"structured.a": "v5", "structured.a@2": "other5"} and got[103] == {"structured.a": "v3"}
+    swapped = unify(spark, [of(a="v", b="w"), of(a="w", b="v")])  # by name only, since both names go on
+    assert swapped[100] == {"structured.a": "w0", "structured.b": "v0"}
+    back = unify(spark, [of(a="v", k="k"), of(k="k"), of(a="n", k="k")])
+    assert back[200] == {"structured.a": "n0", "structured.k": "k0"}
+    crossed = unify(spark, [of(a="v"), of(b="v"), of(c="v", b="x")])
+    assert crossed[200] in ({"structured.a": "x0", "structured.c": "v0"}, {"structured.a": "x0", "structured.c@2": "v0"})
+
+
+def test_leaves_of_any_depth(spark):
+    deep = {"x": 1, "o": {}, "n": None}
+    for i in range(8):
+        deep = {f"k{i}": deep, "t": i}
+    rows = [(1, 1, json.dumps(deep), {"m": "v", "z": None}), (2, 1, '{"a": 1.0, "b": 10, "c": 1e3, "d": 12345678901234567890123, "e": [1, {"f": 2}], "g": "", "h": false}', None), (3, 1, "not json", None), (4, 1, "[1]", {}), (5, 1, None, None)]
+    df = spark.createDataFrame(rows, "record_id long, file_id long, structured string, metadata map<string,string>").withColumn("name", F.lit("clash")).withColumn("key", F.lit(1))
+    got = {(r["record_id"], r["root"], r["name"]): (r["type"], r["value"]) for r in drift.fields(df).collect()}
+    path = "".join(f"k{i}." for i in range(7, -1, -1))
+    want = {(1, "structured", path + "x"): ("integer", "1"), (1, "metadata", "m"): ("text", "v")}
+    want |= {(1, "structured", "".join(f"k{k}." for k in range(7, i, -1)) + "t"): ("integer", str(i)) for i in range(8)}
+    want |= {(2, "structured", k): v for k, v in {"a": ("fraction", "1"), "b": ("integer", "10"), "c": ("fraction", "1000.0"), "d": ("integer", "12345678901234567890123"), "e": ("array", '[1,{"f":2}]'), "g": ("text", ""), "h": ("boolean", "false")}.items()}
+    assert got == want
+
+
 def test_assignment_is_the_best_one():
     import itertools
 
