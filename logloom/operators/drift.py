@@ -33,12 +33,14 @@ LEVELS = 4
 def kind_of(value: Column) -> Column:
     """The type of a JSON value; null for null, `object` for an object. JSON integers come as BIGINT, or beyond it as decimals of more
     than 18 digits; a decimal like 1.0 has fewer."""
-    t = F.schema_of_variant(value)
-    digits = F.regexp_extract(t, r"^DECIMAL\((\d+),0\)$", 1).try_cast("int")
-    return (
-        F.when(t == "STRING", "text").when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer").when(t == "BOOLEAN", "boolean").when(digits > 18, "integer")
-        .when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), "fraction").when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object")
-    )
+
+    def named(t: Column) -> Column:
+        return (
+            F.when(t == "STRING", "text").when(t == "BIGINT", "integer").when(t == "BOOLEAN", "boolean").when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array")
+            .when(t.rlike(r"^DECIMAL\((?:19|[23]\d),0\)$"), "integer").when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), "fraction")
+        )
+
+    return F.transform(F.array(F.schema_of_variant(value)), named)[0]  # so that the schema is worked out once
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("name", "json")])))
@@ -58,9 +60,21 @@ def deep_leaves(texts):
 
 def fields(records: DataFrame) -> DataFrame:
     """A row for each non-null leaf: record_id, file_id, root, name, type, value (text) and json (VARIANT)."""
+    ids = ["record_id", "file_id"]
+    told = _opened(records).where("type <> 'object'")
+    # Only records with so many brackets can be nested deeper, which is looked at before any is parsed for it.
+    nested = _opened(records.where(F.regexp_count("structured", F.lit(r"\{")) > LEVELS)).where("type = 'object'")
+    deep = nested.select(*ids, "name", F.explode(deep_leaves(F.to_json("json"))).alias("x")).select(*ids, F.concat_ws(".", "name", "x.name").alias("name"), F.try_parse_json("x.json").alias("json"))
+    told = told.select(*ids, "name", "json", "type").unionByName(deep.withColumn("type", kind_of(F.col("json"))).where("type is not null"))
+    structured = told.select(*ids, F.lit("structured").alias("root"), "name", "type", F.coalesce(F.try_variant_get("json", "$", "string"), F.to_json("json")).alias("value"), "json")
+    meta = records.select(*ids, F.explode("metadata").alias("name", "value")).where("value is not null")
+    return structured.unionByName(meta.select(*ids, F.lit("metadata").alias("root"), "name", F.lit("text").alias("type"), "value", F.col("value").cast("variant").alias("json")))
+
+
+def _opened(records: DataFrame) -> DataFrame:
+    """The leaves down to LEVELS, and the objects at that level, by one pass over the records: each level opens those of the one before."""
     tvf = records.sparkSession.tvf
     ids = ["record_id", "file_id"]
-    # Each level opens the objects of the one before it, by one pass over the records.
     rows = records.select(*ids, F.try_parse_json(F.col("structured")).alias("_top")).lateralJoin(tvf.variant_explode(F.col("_top").outer())).where("key is not null")
     rows = rows.select(*ids, F.col("key").alias("name"), F.col("value").alias("json")).withColumn("type", kind_of(F.col("json")))
     for _ in range(LEVELS - 1):
@@ -70,13 +84,7 @@ def fields(records: DataFrame) -> DataFrame:
             *ids, F.when(opened, F.concat_ws(".", "name", "key")).otherwise(F.col("name")).alias("name"), F.when(opened, F.col("value")).otherwise(F.col("json")).alias("json"),
             F.when(opened, kind_of(F.col("value"))).otherwise(F.col("type")).alias("type"),
         )
-    rows = rows.where("type is not null")
-    deep = rows.where("type = 'object'").select(*ids, "name", F.explode(deep_leaves(F.to_json("json"))).alias("x"))
-    deep = deep.select(*ids, F.concat_ws(".", "name", "x.name").alias("name"), F.try_parse_json("x.json").alias("json")).withColumn("type", kind_of(F.col("json"))).where("type is not null")
-    told = rows.where("type <> 'object'").select(*ids, "name", "json", "type").unionByName(deep)
-    structured = told.select(*ids, F.lit("structured").alias("root"), "name", "type", F.coalesce(F.try_variant_get("json", "$", "string"), F.to_json("json")).alias("value"), "json")
-    meta = records.select(*ids, F.explode("metadata").alias("name", "value")).where("value is not null")
-    return structured.unionByName(meta.select(*ids, F.lit("metadata").alias("root"), "name", F.lit("text").alias("type"), "value", F.col("value").cast("variant").alias("json")))
+    return rows.where("type is not null")
 
 
 def profiles(records: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Each notation has one pattern. A stamp is rewritten once into its fields; epochs and stamps with an offset name an instant by
 themselves. The others are local times: they are joined to the intervals of constant offset of their zone, exploded by local
-month so that the join is an equi-join on zone and month with a range check. Two matching intervals mean that the local time is
+month, of any year from 1 to 9999, so that the join is an equi-join on zone and month with a range check. Two matching intervals mean that the local time is
 ambiguous, none that it doesn't exist, one gives the offset directly. A stamp without year is tried with the year of
 received_at and its neighbours.
 
@@ -25,7 +25,6 @@ from ..session import broadcast_if_small, materialise
 
 FOLLOW_US = 90_000_000
 SECOND = 1_000_000
-FIRST_YEAR, LAST_YEAR = 1970, 2037
 
 # Month names and the offsets, in seconds, of zone abbreviations that a sender's own zone doesn't explain.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -104,57 +103,55 @@ def _days(y: Column, m: Column, d: Column) -> Column:
     return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(), F.unix_date(date))
 
 
-def zone_intervals(zones: DataFrame) -> DataFrame:
-    """Of rows (zone): zone, month (local, yyyymm), from_us and to_us (local), offset_us, and by zone the offsets of its own
-    abbreviations. The zone rules are public; a zone has at most a few intervals a year, so 600 zones bound the result."""
+def zone_intervals(months: DataFrame) -> DataFrame:
+    """Of rows (zone, month), a local month as yyyymm of any year from 1 to 9999: the intervals of constant offset that reach into it,
+    from_us and to_us (local) and offset_us, and in a row of its own the abbreviations of the zone in that year with their offsets.
+    The zone rules are public and hold for any year. Only the months that occur are worked out, each a few rows."""
 
     def run(batches):
         from datetime import UTC, datetime, timedelta
+        from functools import lru_cache
         from zoneinfo import ZoneInfo
 
         import pandas as pd
 
         epoch = datetime(1970, 1, 1, tzinfo=UTC)
+        first, last = (int((d - epoch).total_seconds()) for d in (datetime(1, 1, 3, tzinfo=UTC), datetime(9999, 12, 29, tzinfo=UTC)))
 
-        def at(zone, s):
-            t = (epoch + timedelta(seconds=s)).astimezone(zone)
+        @lru_cache(None)
+        def at(name, s):
+            t = (epoch + timedelta(seconds=min(max(s, first), last))).astimezone(ZoneInfo(name))
             return int(t.utcoffset().total_seconds()), t.tzname()
 
         for pdf in batches:
             rows = []
-            for name in pdf["zone"]:
+            for name, month in zip(pdf["zone"], pdf["month"], strict=True):
+                year, m = divmod(int(month), 100)
                 try:
-                    zone = ZoneInfo(name)
-                except Exception:  # not a zone: its local times name no instant
+                    ZoneInfo(name)
+                    begin = int((datetime(year, m, 1, tzinfo=UTC) - epoch).total_seconds())
+                except Exception:  # not a zone or a year: its local times name no instant
                     continue
-                start, end = int((datetime(FIRST_YEAR, 1, 1, tzinfo=UTC) - epoch).total_seconds()), int((datetime(LAST_YEAR, 12, 31, tzinfo=UTC) - epoch).total_seconds())
-                cuts, s, now = [], start, at(zone, start)
-                names = {now[1]: now[0]}
+                s, end = begin - 2 * 86400, begin + 34 * 86400
+                cuts, start, now = [], s, at(name, s)[0]
                 while s < end:
-                    t = min(s + 7 * 86400, end)
-                    then = at(zone, t)
-                    if then != now:
+                    t = s + 86400
+                    if (then := at(name, t)[0]) != now:
                         lo, hi = s, t
                         while hi - lo > 1:
                             mid = (lo + hi) // 2
-                            lo, hi = (mid, hi) if at(zone, mid) == now else (lo, mid)
-                        cuts.append((start, hi, now[0]))
-                        start, now, s = hi, at(zone, hi), hi
-                        names[now[1]] = now[0]
-                    else:
-                        s = t
-                cuts.append((start, end, now[0]))
-                for i, (a, b, off) in enumerate(cuts):
-                    lo, hi = a + off - 86400 * (i == 0), b + off + 86400 * (i == len(cuts) - 1)
-                    m, stop = (epoch + timedelta(seconds=lo)), (epoch + timedelta(seconds=hi - 1))
-                    y, k = m.year, m.month
-                    while (y, k) <= (stop.year, stop.month):
-                        rows.append((name, y * 100 + k, lo * SECOND, hi * SECOND, off * SECOND, None))
-                        y, k = (y, k + 1) if k < 12 else (y + 1, 1)
-                rows.append((name, None, None, None, None, names))
-            yield pd.DataFrame(rows, columns=["zone", "month", "from_us", "to_us", "offset_us", "names"]).astype({"month": "Int64", "from_us": "Int64", "to_us": "Int64", "offset_us": "Int64"})
-
-    return zones.mapInPandas(run, "zone string, month bigint, from_us bigint, to_us bigint, offset_us bigint, names map<string,int>")
+                            lo, hi = (mid, hi) if at(name, mid)[0] == now else (lo, mid)
+                        cuts.append((start, hi, now))
+                        start, now = hi, then
+                    s = t
+                cuts.append((start, end, now))
+                rows += [(name, month, (a + off) * SECOND, (b + off) * SECOND, off * SECOND, None) for a, b, off in cuts]
+                new_year = int((datetime(year, 1, 1, tzinfo=UTC) - epoch).total_seconds())
+                names = {n: off for off, n in (at(name, new_year + k * 10 * 86400) for k in range(37)) if n}
+                rows.append((name, month, None, None, None, names))
+            yield pd.DataFrame(rows, columns=["zone", "month", "from_us", "to_us", "offset_us", "names"]).astype({"from_us": "Int64", "to_us": "Int64", "offset_us": "Int64"})
+
+    return months.mapInPandas(run, "zone string, month bigint, from_us bigint, to_us bigint, offset_us bigint, names map<string,int>")
 
 
 def normalise(rows: DataFrame, senders: DataFrame) -> DataFrame:
@@ -199,15 +196,15 @@ def normalise(rows: DataFrame, senders: DataFrame) -> DataFrame:
     timed = parsed.withColumn("local", days.cast("bigint") * 86400 * SECOND + F.col("clock")).drop("kind", "year", "m", "d", "clock")
     timed = materialise(timed.where("instant is not null or local is not null"))  # parsed once for the four uses below
 
-    zones = timed.where("instant is null and (offset is null)").select("zone").distinct()
-    table = zone_intervals(zones)
-    names = table.where("names is not null").select("zone", "names")
+    timed = timed.withColumn("month", F.when(F.col("instant").isNull() & F.col("offset").isNull(), F.date_format(F.timestamp_micros("local"), "yyyyMM").cast("bigint")))
+    table = zone_intervals(timed.where("month is not null").select("zone", "month").distinct())
+    names = table.where("names is not null").select("zone", "month", "names")
     spans = table.where("names is null").drop("names")
     fixed = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    abbreviated = timed.where("instant is null and offset is null and abbr is not null").join(names, "zone", "left").withColumn("offset", F.coalesce(F.try_element_at("names", F.col("abbr")).cast("bigint"), F.try_element_at(fixed, F.col("abbr")).cast("bigint")))
+    abbreviated = timed.where("month is not null and abbr is not null").join(names, ["zone", "month"], "left").withColumn("offset", F.coalesce(F.try_element_at("names", F.col("abbr")).cast("bigint"), F.try_element_at(fixed, F.col("abbr")).cast("bigint")))
     direct = timed.where("instant is not null or offset is not null").select("id", "field", "grain", F.coalesce("instant", F.col("local") - F.col("offset") * SECOND).alias("us"))
     direct = direct.unionByName(abbreviated.where("offset is not null").select("id", "field", "grain", (F.col("local") - F.col("offset") * SECOND).alias("us")))
-    local = timed.where("instant is null and offset is null and abbr is null").withColumn("month", F.date_format(F.timestamp_micros("local"), "yyyyMM").cast("bigint"))
+    local = timed.where("month is not null and abbr is null")
     inside = (F.col("local") >= F.col("from_us")) & (F.col("local") < F.col("to_us"))
     joined = local.join(spans, ["zone", "month"]).where(inside).select("id", "field", "grain", (F.col("local") - F.col("offset_us")).alias("us"))
     return _settle(direct.unionByName(joined))

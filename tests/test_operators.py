@@ -66,6 +66,12 @@ def test_clock_changes_new_year_and_placeholders(spark):
     assert stamps(spark, []) == {}
 
 
+def test_years_far_from_now(spark):
+    rows = [("2040-07-01 12:00:00", None, "s://ny"), ("1965-01-15 12:00:00", None, "s://ny"), ("2036-07-01 12:00:00", None, "s://be"), ("2150-12-24T18:00:00", None, "s://be"), ("1890-03-01 00:00:00", None, "s://lo"), ("2150-07-01 12:00:00 EDT", None, "s://ny"), ("0001-01-01 00:00:00", None, "s://none"), ("9999-12-31 23:59:59", None, "s://none")]
+    want = ["2040-07-01T16:00:00", "1965-01-15T17:00:00", "2036-07-01T10:00:00", "2150-12-24T17:00:00", "1890-03-01T00:00:00", "2150-07-01T16:00:00", "0001-01-01T00:00:00", "9999-12-31T23:59:59"]
+    assert stamps(spark, rows) == {(i, "received_at"): us(w) for i, w in enumerate(want)}
+
+
 FILE = "line_id long, received_at timestamp, source struct<kind:string,addr:string,path:string>, line_no int, content string, stamp string"
 
 
