@@ -12,6 +12,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def partitions_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -61,7 +63,8 @@ def long_runs(df: DataFrame, least: int) -> DataFrame:
         if run:
             yield pd.DataFrame(out(run, True), columns=cols)
 
-    runs = parted.mapInPandas(scan, "entity string, at bigint, id bigint, value double, run string, left boolean, right boolean, n int")
+    # Kept in a table, since the scan is long and its rows, those of long runs and of runs at borders, are few and used twice.
+    runs = materialise(parted.mapInPandas(scan, "entity string, at bigint, id bigint, value double, run string, left boolean, right boolean, n int"))
     # A run is an edge run if it is the first or the last of its partition.
     edges = (
         runs.groupBy("run")

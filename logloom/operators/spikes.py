@@ -4,23 +4,31 @@ Each source is summarised by mergeable quantile sketches on a logarithmic scale
 under 5 %): first by hour, counted on the map side and merged over partitions, then by context. The context of an hour is the
 narrowest of +-1, +-3, +-8 and +-24 hours that holds CONTEXT readings, else the whole record of the source. In a context the
 cells where readings are dense form the habitual levels; there may be several (a second habitual level, both sides of a lasting
-change). Around every level lie fences, expanded by its interquartile range; a reading outside all fences is a spike. A single
-jump between habitual levels is therefore normal, a rate of change that leaves all of them is not. Runs of equal readings
-(zero variance) are `stuck`; they don't count in the sketches.
+change). Each level has its expanded interquartile fences: its quartiles, FENCE interquartile ranges further out, the range being
+taken as LEAST_RANGE cells at least, since quartiles of few readings can coincide. A reading outside the fences of every level is
+a spike.
 
-A task sees the sketches of one source over three days, never its readings, so no source is ever in one task.
+A reading inside the fences of a level can still come at an implausible rate: the steps from the reading before it and to the one
+after it, in octaves, are held against the source's own steps in that context, by the same expanded fences. Where both lie outside,
+in opposite directions, and its level holds too few readings to be a habit (HABIT), it is a spike as well. Sources that often change
+between two levels have such steps among their own, so a second habitual level stays normal, as does a lasting change, which has one
+such step only. Runs of equal readings (zero variance) are `stuck`; they don't count in the sketches.
+
+A task sees the sketches of one source over three days, or its readings of one hour, so no source is ever in one task.
 
 Defined cases: null readings are no readings; NaN and infinite ones, negative ones and those over an hour are `impossible` and
-nothing else; a repeated row counts once; a null source is a source of its own; a zero reading counts as the smallest cell.
+nothing else; a repeated row counts once; a null source is a source of its own; a zero reading counts as the smallest cell; a source's
+first and last readings have one step and so no rate.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.entries import micros, source_key
-from .sequences import long_runs
+from ..session import materialise
+from .sequences import long_runs, partitions_of
 
 HOUR_MS = 3_600_000.0
 STUCK = 6
@@ -29,6 +37,9 @@ CONTEXT = 40
 RADII = (1, 3, 8, 24)
 HOUR_US = 3_600_000_000
 
+#: Interquartile ranges from the quartiles to the fences, the least such range in cells, and the share of a context that makes a habit.
+FENCE, LEAST_RANGE, HABIT = 3.0, 3.0, 0.1
+
 
 def readings(entries: DataFrame, value: str = "latency_ms") -> DataFrame:
     """entity, at (us), id, value: each non-null reading once."""
@@ -42,86 +53,131 @@ def impossible(value: str = "value"):
     return F.isnan(v) | (v < 0) | (v > HOUR_MS)
 
 
+def quartile_fences(counts):
+    """The expanded interquartile fences of a sketch, in cells."""
+    import numpy as np
+
+    cum = np.cumsum(counts)
+    q1, q3 = np.searchsorted(cum, [0.25 * cum[-1], 0.75 * cum[-1]])
+    margin = FENCE * max(float(q3 - q1), LEAST_RANGE)
+    return q1 - margin, q3 + margin
+
+
 def levels_of(counts, floor: int = 4, share: float = 0.05):
-    """Fences of the habitual levels of a sketch, given as an array of counts by cell: pairs of first and last cell inside.
+    """The habitual levels of a sketch, given as an array of counts by cell: first and last cell within its fences, and its readings.
 
     A cell is dense if its octave on either side holds `share` of all readings and `floor` at least. Dense cells closer than
-    half an octave form one level; its fences lie an octave, or as much as the interquartile range within the level, up to
-    an octave and a quarter, beyond its ends.
+    half an octave form one level.
     """
     import numpy as np
 
     n = int(counts.sum())
     if n == 0:
         return []
-    near = np.convolve(counts, np.ones(2 * CELLS + 1), "same") if len(counts) > 2 * CELLS + 1 else np.convolve(np.pad(counts, 2 * CELLS), np.ones(2 * CELLS + 1), "same")[2 * CELLS : -2 * CELLS]
+    cum = np.concatenate([np.zeros(2 * CELLS + 1, np.int64), np.cumsum(counts), np.full(2 * CELLS, n)])
+    near = cum[3 * CELLS + 1 : 3 * CELLS + 1 + len(counts)] - cum[CELLS : CELLS + len(counts)]
     dense = np.flatnonzero((counts > 0) & (near >= max(floor, share * n)))
     out = []
     for part in np.split(dense, np.flatnonzero(np.diff(dense) > CELLS // 2) + 1):
         if len(part):
             lo, hi = int(part[0]), int(part[-1])
-            cum = np.cumsum(counts[lo : hi + 1])
-            q1, q3 = np.searchsorted(cum, [0.25 * cum[-1], 0.75 * cum[-1]])
-            margin = CELLS + min(max(int(q3 - q1) - CELLS, 0), CELLS // 4)
-            out.append((lo - margin, hi + margin))
+            own = counts[lo : hi + 1]
+            a, b = quartile_fences(own)
+            out.append((lo + int(np.floor(a)), lo + int(np.ceil(b)), int(own.sum())))
     return out
 
 
-def fences(hourly: DataFrame, whole: DataFrame) -> DataFrame:
-    """Of sketches by (entity, hour) and by entity: rows of entity, hour and `inside`, the habitual ranges of cells."""
-    spread = hourly.select("entity", F.explode(F.array(*(F.floor(F.col("hour") / 24) + d for d in (-1, 0, 1)))).alias("day"), "hour", "cells")
-    owned = spread.join(whole, "entity")
+CELLS_T = "array<struct<cell:int,n:bigint>>"
+JUDGED = "entity string, hour bigint, inside array<struct<lo:int,hi:int,habit:boolean>>, step double"
 
-    def run(key, pdf):
+
+def fences(hourly: DataFrame, whole: DataFrame) -> DataFrame:
+    """Of sketches of readings (`cells`) and of their steps (`steps`) by (entity, hour), and of readings and steps by entity: rows of
+    entity, hour, `inside`, the ranges of cells of the habitual levels, and `step`, the longest plausible step in cells."""
+    n = partitions_of(hourly)
+    spread = hourly.withColumn("day", F.explode(F.array(*(F.floor(F.col("hour") / 24) + d for d in (-1, 0, 1)))))
+    days = hourly.select(F.col("entity").alias("of"), F.floor(F.col("hour") / 24).alias("on")).distinct()
+    owned = days.join(whole.withColumnRenamed("entity", "of"), "of")  # a copy of a source's whole record for each of its days
+
+    def run(key, pdf, record):
         import numpy as np
         import pandas as pd
 
         day = int(key[1])
-        hours = pdf["hour"].to_numpy()
-        mine = hours[hours // 24 == day]
-        if not len(mine):
-            return pd.DataFrame(columns=["entity", "hour", "inside"], dtype=object)
-        bins = [np.array([(c["cell"], c["n"]) for c in cells], np.int64).reshape(-1, 2) for cells in pdf["cells"]]
-        all_ = np.array([(c["cell"], c["n"]) for c in pdf["all_cells"].iloc[0]], np.int64).reshape(-1, 2)
-        low = int(min(all_[:, 0].min(), min(b[:, 0].min() for b in bins)))
-        width = int(max(all_[:, 0].max(), max(b[:, 0].max() for b in bins))) - low + 1
-        by_hour = {}
-        for h, b in zip(hours, bins, strict=True):
-            by_hour.setdefault(int(h), np.zeros(width, np.int64))[b[:, 0] - low] += b[:, 1]
+        hours = pdf["hour"].to_numpy() - 24 * (day - 1) if len(pdf) else np.array([], int)
+        if not len(record) or not ((hours >= 24) & (hours < 48)).any():
+            return pd.DataFrame(columns=["entity", "hour", "inside", "step"], dtype=object)
+
+        def contexts(column):
+            """By hour of the three days the cumulated counts, the counts of the whole record, and the lowest cell."""
+            pick = lambda cells: np.array([(c["cell"], c["n"]) for c in cells], np.int64).reshape(-1, 2)
+            bins, all_ = [pick(c) if c is not None else np.zeros((0, 2), np.int64) for c in pdf[column]], pick(record[f"all_{column}"].iloc[0]) if record[f"all_{column}"].iloc[0] is not None else np.zeros((0, 2), np.int64)
+            cells = np.concatenate([all_[:, 0], *(b[:, 0] for b in bins)])
+            low, width = (int(cells.min()), int(cells.max() - cells.min()) + 1) if len(cells) else (0, 1)
+            table, total = np.zeros((73, width), np.int64), np.zeros(width, np.int64)
+            for h, b in zip(hours, bins, strict=True):
+                np.add.at(table[int(h) + 1], b[:, 0] - low, b[:, 1])
+            np.add.at(total, all_[:, 0] - low, all_[:, 1])
+            return np.cumsum(table, axis=0), total, low
+
+        cum, total, low = contexts("cells")
+        step_cum, step_total, step_low = contexts("steps")
         rows = []
-        total = None
-        for h in sorted(set(mine.tolist())):
-            chosen = None
+        for h in sorted({int(x) for x in hours if 24 <= x < 48}):
+            chosen, steps = total, step_total
             for r in RADII:
-                got = [by_hour[k] for k in range(h - r, h + r + 1) if k in by_hour]
-                s = np.sum(got, axis=0)
-                if s.sum() >= CONTEXT:
-                    chosen = s
+                got = cum[min(h + r, 71) + 1] - cum[max(h - r, 0)]
+                if got.sum() >= CONTEXT:
+                    chosen, steps = got, step_cum[min(h + r, 71) + 1] - step_cum[max(h - r, 0)]
                     break
-            if chosen is None:
-                if total is None:
-                    total = np.zeros(width, np.int64)
-                    np.add.at(total, all_[:, 0] - low, all_[:, 1])
-                chosen = total
-            rows.append((key[0], h, [{"lo": a + low, "hi": b + low} for a, b in levels_of(chosen)]))
-        return pd.DataFrame(rows, columns=["entity", "hour", "inside"])
+            n = int(chosen.sum())
+            far = float(quartile_fences(steps)[1]) + step_low if steps.sum() else None
+            inside = [{"lo": a + low, "hi": b + low, "habit": k >= HABIT * n} for a, b, k in levels_of(chosen)]
+            rows.append((key[0], h + 24 * (day - 1), inside, far))
+        return pd.DataFrame(rows, columns=["entity", "hour", "inside", "step"])
+
+    # Partitions by number, so that this stage, which is all computing, isn't run by a few tasks because its data is small.
+    left, right = spread.repartition(n, "entity", "day"), owned.repartition(n, "of", "on")
+    return left.groupBy("entity", "day").cogroup(right.groupBy("of", "on")).applyInPandas(run, JUDGED)
+
+
+def stepped(seen: DataFrame) -> DataFrame:
+    """Readings (entity, hour, at, id, cell) with `before` and `after`, the cells of their neighbours: within an hour, and over its ends
+    from the nearest hours that have readings."""
+    place = F.struct("at", "id")
+    ends = seen.groupBy("entity", "hour").agg(F.min_by("cell", place).alias("first"), F.max_by("cell", place).alias("last"))
+    by_hour = Window.partitionBy("entity").orderBy("hour")  # a row an hour
+    around = ends.select("entity", "hour", F.lag("last").over(by_hour).alias("_before"), F.lead("first").over(by_hour).alias("_after"))
+    w = Window.partitionBy("entity", "hour").orderBy("at", "id")
+    near = seen.withColumns({"before": F.lag("cell").over(w), "after": F.lead("cell").over(w)})
+    return near.join(around, ["entity", "hour"]).withColumns({"before": F.coalesce("before", "_before"), "after": F.coalesce("after", "_after")}).drop("_before", "_after")
+
 
-    return owned.groupBy("entity", "day").applyInPandas(run, "entity string, hour bigint, inside array<struct<lo:int,hi:int>>")
+def sketched(rows: DataFrame, cell: Column, name: str) -> tuple[DataFrame, DataFrame]:
+    """Counts by cell as arrays: by entity and hour, and by entity."""
+    counts = rows.groupBy("entity", "hour", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).where("cell is not null")
+    hourly = counts.groupBy("entity", "hour").agg(F.collect_list(F.struct("cell", "n")).alias(name))
+    return hourly, counts.groupBy("entity", "cell").agg(F.sum("n").alias("n")).groupBy("entity").agg(F.collect_list(F.struct("cell", "n")).alias(f"all_{name}"))
 
 
 def faults(entries: DataFrame, value: str = "latency_ms") -> DataFrame:
     """entry_id and fault of every faulty reading; a stuck reading isn't also a spike."""
     all_ = readings(entries, value)
     bad = all_.where(impossible()).select("id", F.lit("impossible").alias("fault")).distinct()
-    good = all_.where(~impossible())
-    stuck = long_runs(all_, STUCK).where(~impossible()).select("id").distinct().withColumn("stuck", F.lit(True))
+    stuck = materialise(long_runs(all_, STUCK).where(~impossible()).select("id").distinct())
     cell = F.floor(F.log2(F.greatest("value", F.lit(1e-6))) * CELLS).cast("int")
-    seen = good.dropDuplicates(["entity", "at", "id"]).join(stuck, "id", "left").select("entity", "id", F.floor(F.col("at") / HOUR_US).alias("hour"), cell.alias("cell"), F.coalesce("stuck", F.lit(False)).alias("stuck"))
-    counts = seen.where("not stuck").groupBy("entity", "hour", "cell").agg(F.count(F.lit(1)).alias("n"))
-    hourly = counts.groupBy("entity", "hour").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
-    whole = counts.groupBy("entity", "cell").agg(F.sum("n").alias("n")).groupBy("entity").agg(F.collect_list(F.struct("cell", "n")).alias("all_cells"))
-    judged = seen.where("not stuck").join(fences(hourly, whole), ["entity", "hour"])
-    outside = ~F.exists("inside", lambda x: F.col("cell").between(x["lo"], x["hi"]))
-    spikes = judged.where(outside & (F.size("inside") > 0)).select("id", F.lit("spike").alias("fault"))
+    placed = all_.where(~impossible()).select("entity", F.floor(F.col("at") / HOUR_US).alias("hour"), "at", "id", cell.alias("cell"))
+    # One shuffle by source and hour serves duplicates, neighbours and the join with the fences.
+    seen = placed.repartition("entity", "hour").dropDuplicates(["entity", "hour", "at", "id"]).join(stuck, "id", "left_anti")
+    seen = materialise(stepped(seen))
+    hourly, whole = sketched(seen, F.col("cell"), "cells")
+    hourly_steps, whole_steps = sketched(seen, F.abs(F.col("cell") - F.col("before")), "steps")
+    judged = seen.join(fences(hourly.join(hourly_steps, ["entity", "hour"], "left"), whole.join(whole_steps, "entity", "left")), ["entity", "hour"])
+    within = lambda x: F.col("cell").between(x["lo"], x["hi"])
+    outside = ~F.exists("inside", within)
+    into, out_of = F.col("cell") - F.col("before"), F.col("after") - F.col("cell")
+    abrupt = (F.abs(into) > F.col("step")) & (F.abs(out_of) > F.col("step")) & (F.signum(into) != F.signum(out_of))
+    rare = ~F.exists("inside", lambda x: within(x) & x["habit"])
+    spikes = judged.where((F.size("inside") > 0) & (outside | (F.coalesce(abrupt, F.lit(False)) & rare))).select("id", F.lit("spike").alias("fault"))
     out = bad.unionByName(stuck.select("id", F.lit("stuck").alias("fault"))).unionByName(spikes)
     return out.select(F.col("id").alias("entry_id"), "fault")

@@ -49,8 +49,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.faults(read(spark, sf_dir, "enriched_entries"))
 
 
+def p6_impossible_and_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faults that don't depend on what a source normally shows."""
+    return p6_found(spark, sf_dir).where("fault <> 'spike'")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_templates, p4_found, p4_unified, p4_values_kept, p4_profiles, p6_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_templates, p4_found, p4_unified, p4_values_kept, p4_profiles, p6_found, p6_impossible_and_stuck)}
 
 
 #: Leaves of the JSON objects and of the metadata, each record once.
@@ -63,7 +68,12 @@ LEAVES = """with r as (select distinct record_id, file_id, structured, metadata
 
 
 def oracle_sql() -> dict[str, str]:
+    uri = "coalesce(case source.kind when 'stdin' then 'stdin' when 'file' then 'file://' || source.path else source.kind || '://' || source.addr end, '')"
     return {
+        "p6_impossible_and_stuck": f"""with r as (select distinct entry_id, epoch_us(received_at) as us, {uri} as uri, latency_ms as v from enriched_entries where latency_ms is not null),
+            o as (select *, case when v = lag(v) over w then 0 else 1 end as new from r window w as (partition by uri order by us, entry_id)),
+            g as (select *, sum(new) over (partition by uri order by us, entry_id) as run from o), n as (select *, count(*) over (partition by uri, run) as size from g)
+            select entry_id, case when isnan(v) or v < 0 or v > 3600000 then 'impossible' else 'stuck' end as fault from n where isnan(v) or v < 0 or v > 3600000 or size >= 6""",
         "p4_values_kept": f"{LEAVES} select file_id, count(*) as n_records, cast(sum(coalesce(n, 0)) as bigint) as n_values from r left join (select record_id, count(*) as n from l where value is not null group by record_id) using (record_id) group by file_id",
         "p4_profiles": f"{LEAVES} select file_id, root, name, type, count(*) as n, count(distinct value) as n_distinct from l where value is not null group by all",
     }

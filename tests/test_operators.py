@@ -251,3 +251,37 @@ def test_faults(spark):
     got = sorted((r["entry_id"], r["fault"]) for r in spikes.faults(df.unionByName(df)).collect())
     assert got == [(50, "impossible"), (51, "impossible"), (52, "impossible"), (53, "impossible"), (100, "spike"), (101, "spike"), *[(i, "stuck") for i in range(200, 206)], (450, "spike")]
     assert spikes.faults(df.where("false")).count() == 0
+
+
+def test_implausible_rate_of_change(spark):
+    """A reading of a level that was left is a spike if it comes and goes in one step and the level is no habit; the change isn't one."""
+    rnd = random.Random(4)
+    t0 = dt.datetime(2023, 1, 1, tzinfo=UTC)
+    rows = [(i, t0 + dt.timedelta(seconds=30 * i), ("stdin", None, None), (10.0 if i < 6 or i == 60 else 200.0) * 2 ** rnd.gauss(0, 0.1)) for i in range(110)]
+    kind = "entry_id long, received_at timestamp, source struct<kind:string,addr:string,path:string>, latency_ms double"
+    assert [tuple(r) for r in spikes.faults(spark.createDataFrame(rows, kind)).collect()] == [(60, "spike")]
+    habit = [(i, t, s, v if i % 5 else 10.0 * 2 ** rnd.gauss(0, 0.1)) for i, t, s, v in rows]
+    assert spikes.faults(spark.createDataFrame(habit, kind)).count() == 0
+
+
+def test_expanded_fences():
+    counts = np.zeros(100, int)
+    counts[40:61] = 10
+    lo, hi = spikes.quartile_fences(counts)
+    assert (lo, hi) == (45 - 30, 55 + 30)
+    two = counts.copy()
+    two[90:92] = 30
+    (a, b, n), (c, d, m) = spikes.levels_of(two)
+    assert (a, b, n) == (15, 85, 210) and (c, d, m) == (81, 100, 60)
+    assert spikes.levels_of(np.zeros(5, int)) == []
+
+
+def test_neighbours_over_the_ends_of_hours(spark):
+    rnd = random.Random(5)
+    rows = sorted({(rnd.choice("ab"), rnd.randint(0, 40) ** 2 // 40, rnd.randint(0, 9), i) for i in range(300)})
+    rows = [(e, h, h * 10 + a, i, rnd.randint(0, 50)) for e, h, a, i in rows]
+    got = {r["id"]: (r["before"], r["after"]) for r in spikes.stepped(spark.createDataFrame(rows, "entity string, hour long, at long, id long, cell int")).collect()}
+    for e in "ab":
+        mine = sorted((r for r in rows if r[0] == e), key=lambda r: (r[2], r[3]))
+        for k, r in enumerate(mine):
+            assert got[r[3]] == (mine[k - 1][4] if k else None, mine[k + 1][4] if k + 1 < len(mine) else None)
