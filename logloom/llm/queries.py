@@ -20,6 +20,12 @@ def p2_near_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.runs(read(spark, sf_dir, "log_entries"), least=0.8, gap_us=600_000_000)
 
 
+def p2_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By source: the events in all near runs, which must be all entries."""
+    ran = runs.runs(read(spark, sf_dir, "log_entries"), least=0.8, gap_us=600_000_000)
+    return ran.groupBy("entity").agg(F.sum("n_events").alias("n"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found_rows(read(spark, sf_dir, "log_entries")).select("entry_id", "pii_type", "pii_text")
 
@@ -65,11 +71,14 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_near_runs, p5_found, p5_redacted, p7_percentiles, p7_daily_histograms, p7_combined, p8_ids, p9_assign, p9_fill, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p2_found, p2_near_runs, p2_covered, p5_found, p5_redacted, p7_percentiles, p7_daily_histograms, p7_combined, p8_ids, p9_assign, p9_fill, p10_found, p10_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p7_percentiles": P7_SQL}
+    return {"p2_covered": f"select {URI} as entity, count(distinct entry_id) as n from log_entries group by 1", "p7_percentiles": P7_SQL}
+
+
+URI = "case source.kind when 'stdin' then 'stdin' when 'file' then 'file://' || source.path else source.kind || '://' || source.addr end"
 
 
 #: Distinct readings, ranked by DuckDB's own discrete quantile.

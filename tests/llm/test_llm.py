@@ -144,6 +144,34 @@ def test_agglomeration_order_and_limits():
     assert runs.agglomerate([], 1.0, None) == [] and len(runs.agglomerate([(0, 1, a)], 0.5, 1)) == 1
 
 
+def test_near_runs_do_not_depend_on_partitions(spark):
+    rnd = random.Random(8)
+    words = "ash beech cedar elm fir".split()
+    rows, at = [], {}
+    for i in range(4000):
+        source = rnd.choice([("stdin", None, None)] * 3 + [("tcp", "a:1", None)])
+        at[source] = at.get(source, 0) + rnd.choice([1, 5, 30, 200, 300, 301])
+        text = " ".join(rnd.choice(words) if rnd.random() < 0.12 else w for w in words)
+        rows.append((i, T0 + dt.timedelta(seconds=at[source]), source, f"{text} {i}"))
+    want = set()
+    for s in at:
+        mine = sorted((int((t - T0).total_seconds()) * 1_000_000, i, c.rsplit(" ", 1)[0] + " #") for i, t, x, c in rows if x == s)
+        want |= {(r[1], r[3], r[4]) for r in runs.agglomerate(mine, 0.65, 300_000_000)}
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, ENTRIES)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "4", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = [(r["first_entry_id"], r["last_entry_id"], r["n_events"]) for r in runs.runs(df.unionByName(df), 0.65, 300_000_000).collect()]
+            assert len(got) == len(want) < 3000 and set(got) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert runs.runs(df.where("false"), 0.8, 1).count() == 0
+    with pytest.raises(ValueError):
+        runs.runs(df, 0.8)
+
+
 TEXTS = [
     ("my name is Ada B. Lovelace and my number changed to +44 20 7946 0433", [("name", "Ada B. Lovelace"), ("phone", "+44 20 7946 0433")]),
     ("Frau O'NEIL, Maria-Lou, 12a Old Ferry Ave, meldet", [("name", "O'NEIL, Maria-Lou"), ("address", "12a Old Ferry Ave")]),
