@@ -19,7 +19,7 @@ delivered twice is measured twice and found once; an unknown or missing language
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -39,9 +39,10 @@ COMMON = {
     "ja": "は が を の に で た",
 }
 
-#: Quartile widths from the median beyond which a value lies in the tail, and the least width, as a share of the scale.
-TAIL = 4.0
-LEAST_WIDTH = 0.05
+#: Quartile widths from the median beyond which a value lies in the tail, and in the far one.
+TAIL, FAR_TAIL = 4.0, 6.0
+#: Bounds that define a kind: the share of lines that are adverts in a text of nothing but adverts, and of lines that end in spoken text.
+NEARLY_ALL, MOST_LINES_END = 0.85, 0.6
 
 #: Patterns that could begin anywhere look ahead for their first characters, which spares trying each alternative everywhere.
 #: What ends a spoken line: a mark and whatever closes it. The last group are full-width marks read in a wrong encoding.
@@ -91,29 +92,31 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, language and the statistics of each document. Those that only tell the kinds of unspoken text apart, row_share and
-    vowel_share, are null where most lines end as spoken ones do."""
+    """doc_id, language and the statistics of each document, whole texts always. What is counted by character is counted in two steps:
+    ASCII letters and digits, most of a text, by the length they leave behind, and the rest in what is left."""
     held = docs.select("doc_id", language(F.col("lang")).alias("language"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("body", body(F.col("text")))
     b, t = F.col("body"), F.col("text")
     count = lambda s, p: F.regexp_count(s, F.lit(p)).cast("double")
+    without = lambda s, p: F.regexp_replace(s, p, "")
     frequent = alternatives(sorted({w for k, v in COMMON.items() if k != "ja" for w in v.split()}))
     common = rf"(?:^|[^\p{{L}}\p{{N}}]){frequent}(?![\p{{L}}\p{{N}}])|[{COMMON['ja'].replace(' ', '')}](?=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])"
+    left = without(without(b, "[a-zA-Z0-9]+"), "[ \t\n]+")
+    plain = (F.length(b) - F.length(without(b, "[a-zA-Z0-9]+"))).cast("double")
     counted = held.withColumns(
         {
-            "n_lines": count(b, r"[^\n\S]*\S[^\n]*"),
+            "n_lines": count(b, r"\S[^\n]*"),
             "n_words": count(b, r"[\p{L}\p{N}][\p{L}\p{N}\p{M}'’]*"),
-            "n_word_chars": F.length(F.regexp_replace(b, r"[^\p{L}\p{N}]+", "")).cast("double"),
-            "n_visible": F.length(F.translate(b, " \t\n", "")).cast("double"),
-            "n_symbols": count(b, r"[^\p{L}\p{N}\p{M}\s.,:;!?'’\"“”«»()…。、！？♪♫•·-]"),
+            "n_word_chars": plain + F.length(without(left, r"[^\p{L}\p{N}]+")),
+            "n_visible": plain + F.length(left),
+            "n_symbols": count(left, r"[^\p{L}\p{N}\p{M}\s.,:;!?'’\"“”«»()…。、！？♪♫•·-]"),
+            "n_vowels": (F.length(b) - F.length(without(b, "[aeiouyAEIOUY]+"))) + count(left, rf"[{VOWELS}\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}]"),
             "n_ends": count(b, SPOKEN_END),
             "n_common": count(F.lower(b), common),
             "n_adverts": count(b, ADVERT),
+            "n_rows": count(b, r"(?dm)^(?:[+|][^\n]*[+|][ \t]*|[^\n|;\t]*[|;\t][^\n]*|[^\n,]*,[^\n,]*(?:,[^\n]*)?|[^\n]*\S {2,}\S[^\n]*)$"),
             "n_cues": count(t, r"-->|(?dm)^\x{feff}?\{\d+\}\{\d+\}"),
         }
     )
-    unspoken = F.col("n_ends") < 0.6 * F.col("n_lines")
-    vowels = F.length(F.regexp_replace(F.lower(b), rf"[^{VOWELS}\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}]+", "")).cast("double")
-    rows = count(b, r"(?dm)^(?:[+|][^\n]*[+|][ \t]*|[^\n|;\t]*[|;\t][^\n]*|[^\n,]*,[^\n,]*(?:,[^\n]*)?|[^\n]*\S {2,}\S[^\n]*)$")
     return counted.select(
         "doc_id",
         "language",
@@ -124,43 +127,58 @@ def statistics(docs: DataFrame) -> DataFrame:
         _share(F.col("n_common"), F.col("n_words")).alias("common_share"),
         _share(F.col("n_adverts"), F.col("n_lines")).alias("advert_share"),
         _share(F.col("n_cues"), F.col("n_lines") + 1).alias("cue_share"),
-        F.when(unspoken, _share(rows, F.col("n_lines"))).alias("row_share"),
-        F.when(unspoken, _share(vowels, F.col("n_word_chars"))).alias("vowel_share"),
+        _share(F.col("n_rows"), F.col("n_lines")).alias("row_share"),
+        _share(F.col("n_vowels"), F.col("n_word_chars")).alias("vowel_share"),
     )
 
 
-MEASURES = ("mean_word_length", "symbol_ratio", "end_share", "common_share", "advert_share", "cue_share")
+#: Each statistic and the least width of its distribution, on the scale of its values; word counts are measured by their logarithm.
+MEASURES = {"word_count": 0.1, "mean_word_length": 0.5, "symbol_ratio": 0.05, "end_share": 0.05, "common_share": 0.05, "advert_share": 0.05, "cue_share": 0.05, "row_share": 0.05, "vowel_share": 0.05}
+
+
+ANYWHERE = ("vowel_share", "common_share")
+
+
+def measure(m: str) -> Column:
+    return F.log1p(F.col(m)) if m == "word_count" else F.col(m).cast("double")
 
 
 def sketches(stats: DataFrame) -> DataFrame:
     """By language, and for all, a KLL sketch of each statistic. Sketches of parts of the corpus merge with kll_merge_agg_double."""
     both = stats.withColumn("language", F.explode(F.array_distinct(F.array(F.col("language"), F.lit("all")))))
-    return both.groupBy("language").agg(*[F.kll_sketch_agg_double(F.col(m).cast("double")).alias(m) for m in MEASURES], F.count(F.lit(1)).alias("n"))
+    return both.groupBy("language").agg(*[F.kll_sketch_agg_double(measure(m)).alias(m) for m in MEASURES], F.count(F.lit(1)).alias("n"))
 
 
 def scores(stats: DataFrame) -> DataFrame:
-    """The statistics with a robust z-score for each, `z_...`, against the document's language."""
+    """The statistics with, for each, a robust z-score `z_...` (of some also one within all languages, `za_...`, since labels of languages
+    can be wrong) and the share of documents below it, `p_...` in hundredths, within the document's language."""
     quantile = lambda m, r: F.kll_sketch_get_quantile_double(F.col(m), F.lit(r))
-    spread = sketches(stats).where("n > 0").select("language", *[F.struct(quantile(m, 0.25).alias("q1"), quantile(m, 0.5).alias("q2"), quantile(m, 0.75).alias("q3")).alias(f"q_{m}") for m in MEASURES])
-    joined = stats.join(F.broadcast(spread), "language")  # a row a language, eight at most
+    held = sketches(stats).where("n > 0").select("language", *[F.struct(quantile(m, 0.25).alias("q1"), quantile(m, 0.5).alias("q2"), quantile(m, 0.75).alias("q3"), F.kll_sketch_get_quantile_double(F.col(m), F.array(*[F.lit(i / 100) for i in range(1, 101)])).alias("hundredths")).alias(f"q_{m}") for m in MEASURES])
+    every = Window.partitionBy(F.lit(0))  # a row a language, eight at most
+    held = held.withColumns({f"a_{m}": F.max(F.when(F.col("language") == "all", F.struct(*[F.col(f"q_{m}.q{i}") for i in (1, 2, 3)]))).over(every) for m in ANYWHERE})
+    joined = stats.join(F.broadcast(held), "language")
 
-    def z(m: str) -> Column:
+    def z(m: str, against: str = "q") -> Column:
         """The width is that of the other side of the median, so that a heavy tail can't widen its own fence."""
-        q1, q2, q3 = (F.col(f"q_{m}.q{i}") for i in (1, 2, 3))
-        width = F.when(F.col(m) < q2, q3 - q2).otherwise(q2 - q1)
-        return (F.col(m) - q2) / F.greatest(width, F.lit(LEAST_WIDTH) * (1 if m != "mean_word_length" else 10))
+        v, (q1, q2, q3) = measure(m), (F.col(f"{against}_{m}.q{i}") for i in (1, 2, 3))
+        width = F.when(v < q2, q3 - q2).otherwise(q2 - q1)
+        return (v - q2) / F.greatest(width, F.lit(MEASURES[m]))
 
-    return joined.withColumns({f"z_{m}": z(m) for m in MEASURES}).drop(*[f"q_{m}" for m in MEASURES])
+    scored = joined.withColumns({f"z_{m}": z(m) for m in MEASURES} | {f"za_{m}": z(m, "a") for m in ANYWHERE}).withColumns({f"p_{m}": F.when(measure(m).isNotNull(), F.size(F.filter(f"q_{m}.hundredths", lambda q, v=measure(m): q < v)) / 100) for m in MEASURES})
+    return scored.drop(*[f"q_{m}" for m in MEASURES], *[f"a_{m}" for m in ANYWHERE])
 
 
 def kinds(scored: DataFrame) -> DataFrame:
-    """The scored documents with doc_kind: list, table, junk, or null for spoken dialogue and for texts without words or signs."""
-    silent = (F.col("z_end_share") < -TAIL) & (F.col("end_share") < 0.6)
-    adverts = (F.col("z_advert_share") > TAIL) & (F.col("advert_share") > 0.85)
-    rows = (F.col("z_cue_share") < -TAIL) & (F.col("cue_share") == 0) & (F.col("row_share") > 0.5)
-    signs = (F.col("z_symbol_ratio") > TAIL) & (F.col("symbol_ratio") > 0.3)
-    noise = (F.coalesce("vowel_share", F.lit(0)) < 0.15) & (F.coalesce("common_share", F.lit(0)) < 0.1)
-    garbled = signs | noise
+    """The scored documents with doc_kind: list, table, junk, or null for spoken dialogue and for texts without words or signs.
+
+    What decides are the tails, TAIL widths from the median of the language, FAR_TAIL for signs. Two bounds are added where a kind is defined by one: junk
+    is text of which nearly every line is an advert, and lists, tables and garbled text are such of which most lines end nothing."""
+    low, high = lambda m: F.coalesce(F.col(f"z_{m}"), F.lit(-TAIL - 1)) < -TAIL, lambda m: F.col(f"z_{m}") > TAIL
+    silent = (F.col("z_end_share") < -TAIL) & (F.col("end_share") < MOST_LINES_END)
+    adverts = high("advert_share") & (F.col("advert_share") > NEARLY_ALL)
+    rows = low("cue_share") & high("row_share")
+    noise = low("vowel_share") & low("common_share") & (F.coalesce("za_vowel_share", F.lit(-TAIL - 1)) < -TAIL)
+    garbled = (F.col("z_symbol_ratio") > FAR_TAIL) | noise
     kind = F.when(adverts, "junk").when(silent & rows, "table").when(silent & garbled, "junk").when(silent, "list")
     return scored.withColumn("doc_kind", kind)
 

@@ -74,12 +74,18 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(read(spark, sf_dir, "documents"))
 
 
+def p10_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and their mean length, of every document with a text; the text without timings, numbers of cues and markup."""
+    stats = quality.statistics(read(spark, sf_dir, "documents").where("text is not null"))
+    return stats.select("doc_id", "word_count", F.round("mean_word_length", 6).alias("mean_word_length")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_near_runs, p2_covered, p5_found, p5_redacted, p7_percentiles, p7_daily_histograms, p7_combined, p8_ids, p9_assign, p9_fill, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p2_found, p2_near_runs, p2_covered, p5_found, p5_redacted, p7_percentiles, p7_daily_histograms, p7_combined, p8_ids, p9_assign, p9_fill, p10_found, p10_statistics, p10_word_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_covered": f"select {URI} as entity, count(distinct entry_id) as n from log_entries group by 1", "p7_percentiles": P7_SQL}
+    return {"p10_word_counts": P10_SQL, "p2_covered": f"select {URI} as entity, count(distinct entry_id) as n from log_entries group by 1", "p7_percentiles": P7_SQL}
 
 
 URI = "case source.kind when 'stdin' then 'stdin' when 'file' then 'file://' || source.path else source.kind || '://' || source.addr end"
@@ -94,3 +100,13 @@ with r as (select distinct entry_id, case source.kind when 'stdin' then 'stdin'
            from r group by grouping sets ((source, day), (source)))
 select source, day, n, unnest([10, 50, 250, 500, 750, 900, 950, 990, 999]) as permille, unnest(q) as value from g
 """
+
+
+#: The body of a text by patterns of its own, and its words.
+P10_SQL = r"""
+with d as (select distinct doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') as t from documents where text is not null),
+     c as (select doc_id, case when regexp_matches(t, '^\x{feff}?\s*\{\d+\}\{\d+\}') then replace(regexp_replace(t, '(?m)^\x{feff}?\{\d+\}\{\d+\}', '', 'g'), '|', chr(10)) else t end as t from d),
+     b as (select doc_id, regexp_replace(t, '(?m)^[\x{feff} \t]*(?:WEBVTT.*|NOTE\b.*|\d+|.*-->.*|-?[ \t]*[\[(][^\n\])]*[\])]|[♪♫🎵#][^.!?…。！？\n]*[♪♫🎵#])[ \t]*$|</?[a-zA-Z][^>\n]*>|\{\\[^}\n]*\}', '', 'g') as t from c),
+     n as (select doc_id, len(regexp_extract_all(t, '[\p{L}\p{N}][\p{L}\p{N}\p{M}''’]*')) as w, length(regexp_replace(t, '[^\p{L}\p{N}]+', '', 'g')) as k from b)
+select doc_id, cast(w as bigint) as word_count, case when w > 0 then round(k / w, 6) end as mean_word_length from n
+"""
