@@ -65,6 +65,16 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p9_assign(spark, sf_dir))
 
 
+def p9_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all is packed: documents, containers over their capacity, documents in pieces that needn't be, pieces that are missing."""
+    packed = p9_assign(spark, sf_dir)
+    bins = packed.groupBy("bin_id").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > packing.CAPACITY).alias("n_overfull"))
+    docs = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("n_tokens").alias("n"), F.max("piece").alias("last"))
+    torn = F.greatest(F.ceil(F.col("n") / packing.CAPACITY), F.lit(1)) != F.col("k")
+    sums = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(torn).alias("n_torn"), F.count_if(F.col("last") + 1 != F.col("k")).alias("n_incomplete"))
+    return sums.withColumn("one", F.lit(1)).join(bins.withColumn("one", F.lit(1)), "one").drop("one")  # a row each
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.found(read(spark, sf_dir, "documents"))
 
@@ -81,11 +91,11 @@ def p10_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_near_runs, p2_covered, p5_found, p5_redacted, p7_percentiles, p7_daily_histograms, p7_combined, p8_ids, p9_assign, p9_fill, p10_found, p10_statistics, p10_word_counts)}
+    return {f.__name__: f for f in (p2_found, p2_near_runs, p2_covered, p5_found, p5_redacted, p7_percentiles, p7_daily_histograms, p7_combined, p8_ids, p9_assign, p9_fill, p9_whole, p10_found, p10_statistics, p10_word_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p10_word_counts": P10_SQL, "p2_covered": f"select {URI} as entity, count(distinct entry_id) as n from log_entries group by 1", "p7_percentiles": P7_SQL}
+    return {"p9_whole": "select count(distinct doc_id) as n_docs, 0::bigint as n_torn, 0::bigint as n_incomplete, 0::bigint as n_overfull from documents", "p10_word_counts": P10_SQL, "p2_covered": f"select {URI} as entity, count(distinct entry_id) as n from log_entries group by 1", "p7_percentiles": P7_SQL}
 
 
 URI = "case source.kind when 'stdin' then 'stdin' when 'file' then 'file://' || source.path else source.kind || '://' || source.addr end"

@@ -61,7 +61,7 @@ def test_packing(spark):
     items = [(i, int(rnd.paretovariate(0.7) * 3)) for i in range(3000)] + [(9000, 0), (9001, None), (9002, 1000), (9003, 1001), (9004, 64), (9005, 5000)]
     df = spark.createDataFrame(items, "doc_id long, n_tokens long").withColumn("bin_id", F.lit("clash"))
     for shard in (10**6, 100):
-        rows = packing.pack(df.unionByName(df), "doc_id", "n_tokens", 1000, 16, shard).collect()
+        rows = packing.pack(df.unionByName(df), "doc_id", "n_tokens", 1000, shard).collect()
         total, bins = {}, {}
         for r in rows:
             total.setdefault(r["doc_id"], []).append((r["piece"], r["n_tokens"]))
@@ -71,11 +71,27 @@ def test_packing(spark):
             pieces = sorted(total[i])
             assert sum(x for _, x in pieces) == (n or 0) and [p for p, _ in pieces] == list(range(len(pieces)))
             assert len(pieces) == max(1, math.ceil((n or 0) / 1000)) and all(x == 1000 for _, x in pieces[:-1])
-    packed = packing.pack(df, "doc_id", "n_tokens", 1000, 16)
+    packed = packing.pack(df, "doc_id", "n_tokens", 1000)
     assert packing.fill_report(packed, 1000).agg(F.max("fullest")).first()[0] <= 1000
     assert packing.pack(df.where("false"), "doc_id", "n_tokens").count() == 0
     with pytest.raises(ValueError):
-        packing.pack(df, "doc_id", "n_tokens", 3, 16)
+        packing.pack(df, "doc_id", "n_tokens", 0)
+
+
+def test_containers_are_harmonic_and_full():
+    rnd = random.Random(9)
+    for capacity, sizes in ((1000, [min(1000, int(rnd.paretovariate(0.9) * 20)) for _ in range(4000)]), (10, [rnd.randint(0, 10) for _ in range(500)]), (8, [0, 0]), (8, []), (7, [7]), (9, [5, 5, 5, 4, 4, 4])):
+        into, begun = packing.containers(sizes, capacity)
+        held: dict = {}
+        for i, k in enumerate(into):
+            held.setdefault(k, []).append(sizes[i])
+        assert sorted(held) == list(range(len(begun))) and all(sum(x) <= capacity for x in held.values())
+        for k, j in enumerate(begun[:-1]):
+            own = [s for s in held[k] if s and capacity // s == j]
+            assert 1 <= len(own) and (len(own) >= j or not any(s and capacity // s == j for later in range(k + 1, len(begun)) for s in held[later]))
+        if capacity == 1000:  # many small items; with few sizes, as for 10, gaps can't always be filled
+            assert sum(sizes) > 0.97 * capacity * (len(begun) - 1)
+    assert packing.containers([5, 5, 5, 4, 4, 4], 9)[1] == [1, 1, 1]
 
 
 def bits(v):
