@@ -4,9 +4,9 @@
    JSON or key=value pairs become typed tokens, all else stays. Shapes repeat, so they are counted first (on the map side).
 2. Each partition clusters its shapes: a shape joins the template of its leading tokens with which it shares the longest common
    subsequence, half of the shorter one at least. The common subsequence is the template's constant part, and what lies between
-   its tokens are variable slots. The templates of all partitions, a few dozen, are merged the same way.
-3. The beginning that nearly all lines of a template have, up to its last separator, is its head; lines that begin otherwise have
-   heads of their own, so a rare line can't shorten that of the others. Slots of the head are classified by type: the stamp,
+   its tokens are variable slots. The templates of all partitions, a few dozen a partition, are merged the same way.
+3. The head of a template are its constants, those of the common subsequence, and the slots between them, as far as nearly all lines
+   agree; lines that begin otherwise have heads of their own, so a rare line can't shorten that of the others. Slots of the head are classified by type: the stamp,
    the level (word, letter or syslog priority), and as component the last name before the message. A template whose head has a
    level or stamp and a component begins a record; all others are continuations.
 4. Heads become patterns, applied by Spark to every line. Records of a file are delimited by the next head, found within blocks
@@ -85,24 +85,62 @@ def tokens(s: str) -> tuple[str, ...]:
     return tuple(re.findall(r"\w+=|\S| ", s))
 
 
+#: Bits of a table of common subsequences that are held at once; longer lines are halved first.
+TABLE_BITS = 1 << 27
+
+
+def _rows(a: tuple[str, ...], b: tuple[str, ...], keep: bool) -> list[int]:
+    """By token of `a` the bits of `b` at which the longest common subsequence doesn't grow (bit-parallel); the last row alone unless kept."""
+    full = (1 << len(b)) - 1
+    places: dict[str, int] = {}
+    for j, t in enumerate(b):
+        places[t] = places.get(t, 0) | 1 << j
+    v, rows = full, []
+    for t in a:
+        u = v & places.get(t, 0)
+        v = ((v + u) | (v - u)) & full
+        if keep:
+            rows.append(v)
+    return rows if keep else [v]
+
+
+def common_length(a: tuple[str, ...], b: tuple[str, ...]) -> int:
+    return len(b) - _rows(a, b, False)[0].bit_count() if a and b else 0
+
+
 def common(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
-    """A longest common subsequence."""
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[i] == b[j]:
-            out.append(a[i])
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
+    """A longest common subsequence, in space that is bounded for lines of any length."""
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    head, a, b = a[:k], a[k:], b[k:]
+    if not a or not b:
+        return head
+    if len(a) > 1 and len(a) * len(b) > TABLE_BITS:
+        # The half of `a` goes with that part of `b` with which both sides have most in common.
+        half = len(a) // 2
+        left, right = _rows(a[:half], b, False)[0], _rows(a[half:][::-1], b[::-1], False)[0]
+        best, at, n = -1, 0, len(b)
+        behind = [0] * (n + 1)
+        for j in range(n):
+            behind[j + 1] = behind[j] + (not right >> j & 1)
+        before = 0
+        for j in range(n + 1):
+            if before + behind[n - j] > best:
+                best, at = before + behind[n - j], j
+            if j < n:
+                before += not left >> j & 1
+        return head + common(a[:half], b[:at]) + common(a[half:], b[at:])
+    rows, out, i, j = _rows(a, b, True), [], len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            out.append(a[i - 1])
+            i, j = i - 1, j - 1
+        elif rows[i - 1] >> (j - 1) & 1:
+            j -= 1
         else:
-            j += 1
-    return tuple(out)
+            i -= 1
+    return head + tuple(reversed(out))
 
 
 #: The beginning of a template: the share of its lines that have it, and the share that may have something else in its place.
@@ -163,23 +201,40 @@ def lead(t: tuple[str, ...]) -> tuple[str, ...]:
 
 
 def merge(found: list[tuple[tuple, list, int]], new: tuple[tuple, list, int], begin: tuple, by_lead: dict) -> None:
-    """Add a template (constant part, counted beginnings, count) to the list, into the closest one if half of the shorter agrees."""
+    """Add a template (constant part, counted beginnings, count) to the list, into the closest one if half of the shorter agrees. The
+    constant part becomes what both have in common, unless the new lines are so few that they may as well be cut off or odd."""
     body, begins, n = new
     here = by_lead.setdefault(lead(begin), [])
-    scored = [(len(c := common(found[i][0], body)), c, i) for i in here]
-    scored = [x for x in scored if 2 * x[0] >= min(len(body), len(found[x[2]][0]))]
+    scored = [(common_length(found[i][0], body), i) for i in here]
+    scored = [x for x in scored if 2 * x[0] >= min(len(body), len(found[x[1]][0]))]
     if scored:
-        _, c, i = max(scored, key=lambda x: (x[0], -x[2]))
-        found[i][1].extend(begins)
-        found[i] = (c, found[i][1], found[i][2] + n)
+        _, i = max(scored, key=lambda x: (x[0], -x[1]))
+        known = found[i]
+        known[1].extend(begins)
+        found[i] = (known[0] if n < OTHERS * known[2] else common(known[0], body), known[1], known[2] + n)
     else:
         here.append(len(found))
         found.append(new)
 
 
+def anchored(begin: tuple[str, ...], body: tuple[str, ...]) -> tuple[str, ...]:
+    """A beginning up to its last constant of the template: its constants must be those of the common subsequence, in order; what lies
+    between them are slots. A constant that isn't among them is no part of the template, so the head ends before it."""
+    constants = [t for t in body if t not in SLOTS]
+    at, end = 0, 0
+    for i, t in enumerate(begin):
+        if t in SLOTS:
+            continue
+        if at == len(constants) or constants[at] != t:
+            break
+        at, end = at + 1, i + 1 + (len(t) > 1 and t.endswith("="))  # a key goes with its slot
+    return begin[: max(end, 1)] if end or begin[:1] and begin[0] in SLOTS else ()
+
+
 def mine(lines: DataFrame) -> DataFrame:
-    """Templates of the lines: body, begin (both joined by blanks of their own) and n. Lines of a template that begin otherwise than
-    nearly all of it have rows of their own, marked as its rest."""
+    """Templates of the lines: body, the longest common subsequence of their shapes; begin, the constants and slots up to the last
+    constant that the subsequence and nearly all lines share; and n. Lines of a template that begin otherwise than nearly all of it have
+    rows of their own, marked as its rest."""
     shapes = lines.select(shape(F.col("content")).alias("shape")).groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
 
     def cluster(rows):
@@ -187,13 +242,14 @@ def mine(lines: DataFrame) -> DataFrame:
         by_lead: dict = {}
         for body, begin, begins, n in sorted(rows, key=lambda r: (-r[3], r[0])):
             merge(found, (body, begins, n), begin, by_lead)
-        return found
+        leads = {i: key for key, here in by_lead.items() for i in here}
+        return [(leads[i], *template) for i, template in enumerate(found)]
 
     def partition(batches):
         import pandas as pd
 
         rows = [(t, t, [((*t, END), int(n))], int(n)) for pdf in batches for s, n in zip(pdf["shape"], pdf["n"], strict=True) if (t := tokens(s))]
-        out = [(list(body), list(beginnings(begins)[0][0]), [list(b) for b, _ in kept], [k for _, k in kept], n) for body, begins, n in cluster(rows) if (kept := pruned(begins))]
+        out = [(list(body), list(first), [list(b) for b, _ in kept], [k for _, k in kept], n) for first, body, begins, n in cluster(rows) if (kept := pruned(begins))]
         yield pd.DataFrame(out, columns=["body", "begin", "begins", "counts", "n"])
 
     def final(pdf):
@@ -201,12 +257,17 @@ def mine(lines: DataFrame) -> DataFrame:
 
         columns = (pdf[c] for c in ("body", "begin", "begins", "counts", "n"))
         rows = [(tuple(body), tuple(begin), [(tuple(b), int(k)) for b, k in zip(begins, counts, strict=True)], int(n)) for body, begin, begins, counts, n in zip(*columns, strict=True)]
-        out = [(list(body), list(begin), k, i > 0) for body, begins, _ in cluster(rows) for i, (begin, k) in enumerate(beginnings(begins))]
+        out = []
+        for _, body, begins, _ in cluster(rows):
+            for i, (begin, k) in enumerate(beginnings(begins)):
+                # The rest has constants of its own, so it isn't held against those of the others.
+                out.append((list(body), list(anchored(begin, body) if i == 0 else begin), k, i > 0))
         return pd.DataFrame(out, columns=["body", "begin", "n", "rest"])
 
-    # Shapes of one beginning meet in one partition, so that the partial templates are nearly final.
-    local = shapes.repartition(F.substring("shape", 1, 2)).mapInPandas(partition, "body array<string>, begin array<string>, begins array<array<string>>, counts array<bigint>, n bigint")
-    return local.groupBy(F.array_join(F.slice("begin", 1, 2), "").alias("lead")).applyInPandas(final, "body array<string>, begin array<string>, n bigint, rest boolean")
+    # Shapes stay in the partitions they were counted in, by their hash, so that no beginning makes a task larger than others. What is
+    # shuffled afterwards are the templates of each partition, by their first tokens.
+    local = shapes.mapInPandas(partition, "body array<string>, begin array<string>, begins array<array<string>>, counts array<bigint>, n bigint")
+    return local.groupBy(F.array_join("begin", "").alias("lead")).applyInPandas(final, "body array<string>, begin array<string>, n bigint, rest boolean")
 
 
 @dataclass(frozen=True)

@@ -123,6 +123,14 @@ def test_counted_beginnings():
     assert templates.beginnings([(("a", "b", "c", end), 50), (("a", "d", "e", "f", end), 50)]) == [(("a",), 100)]
 
 
+def test_heads_have_the_constants_of_the_common_subsequence():
+    w, n = templates.WORD_T, templates.NUMBER_T
+    assert templates.anchored((w, "[", n, "]", ":", w, "-"), ("[", "]", ":", w)) == (w, "[", n, "]", ":")
+    assert templates.anchored((w, "[", n, "|", ":"), ("[", ":")) == (w, "[") and templates.anchored((w, " "), ()) == (w,) and templates.anchored((), ("a",)) == ()
+    long = tuple("abc" * 3000), tuple("acb" * 3000)
+    assert len(templates.common(*long)) == templates.common_length(*long) >= 6000
+
+
 def test_longest_common_subsequence():
     rnd = random.Random(1)
 
@@ -133,10 +141,13 @@ def test_longest_common_subsequence():
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
         return best[-1][-1]
 
-    for _ in range(200):
-        a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randint(0, 9))) for _ in "12")
+    table = templates.TABLE_BITS
+    for k in range(400):
+        a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randint(0, 12))) for _ in "12")
+        templates.TABLE_BITS = table if k % 2 else 6  # halved again and again
         c = templates.common(tuple(a), tuple(b))
-        assert len(c) == length(a, b)
+        templates.TABLE_BITS = table
+        assert len(c) == length(a, b) == templates.common_length(tuple(a), tuple(b))
         for s in (a, b):
             it = iter(s)
             assert all(x in it for x in c)
