@@ -86,31 +86,38 @@ def select_ranks(df: DataFrame, groups: Sequence[str], value: str, permille: Seq
     names = list(groups)
     groups = [f"_c{i}" for i in range(len(names))]  # own names, so that none of the columns made here clashes
     renamed = df.select(*[F.col(n).alias(c) for n, c in zip(names, groups, strict=True)], F.col(value).alias("_value"))
-    # Null groups must meet in the joins below, so each group has a number of its own that is never null.
-    g = F.xxhash64(*[F.struct(F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in groups])
-    data = materialise(keyed(renamed, groups, "_value").withColumn("g", g))
+    data = materialise(keyed(renamed, groups, "_value"))
+    own = [f"_k{i}" for i in range(len(groups))]
+
+    def matching(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        """Joined by group and parent; null groups are groups too."""
+        same = left["parent"] == right["_parent"]
+        for c, k in zip(groups, own, strict=True):
+            same = same & left[c].eqNullSafe(right[k])
+        return left.join(right, same, how)
+
     targets = None
     for r in range(1, 64 // DIGIT + 1):
         shift = 64 - DIGIT * r
         prefix, parent = F.shiftright("k", shift), F.shiftright("k", min(63, shift + DIGIT))
         if targets is None:
-            hist = data.groupBy("g", *groups, prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n")).withColumn("parent", F.lit(0).cast("long"))
-            total = F.sum("n").over(Window.partitionBy("g"))
+            hist = data.groupBy(*groups, prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n")).withColumn("parent", F.lit(0).cast("long"))
+            total = F.sum("n").over(Window.partitionBy(*groups))
             ranks = F.transform(F.array(*map(F.lit, permille)), lambda p: F.struct(p.alias("permille"), F.floor((p * F.col("total") + 999) / 1000).alias("rank")))
             wanted = hist.withColumn("total", total).withColumn("ranks", ranks)
         else:
-            asked = targets.groupBy("g", F.col("prefix").alias("parent"), *groups, "total").agg(F.collect_list(F.struct("permille", "rank")).alias("ranks"))
+            asked = targets.groupBy(F.col("prefix").alias("_parent"), *[F.col(c).alias(k) for c, k in zip(groups, own, strict=True)], "total").agg(F.collect_list(F.struct("permille", "rank")).alias("ranks"))
             asked = materialise(asked)
-            keys = asked.select("g", "parent")
+            keys = asked.select("_parent", *own)
             keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-            kept = data.select("g", parent.alias("parent"), prefix.alias("prefix")).join(keys, ["g", "parent"], "left_semi")
-            hist = kept.groupBy("g", "parent", "prefix").agg(F.count(F.lit(1)).alias("n"))
-            wanted = hist.join(asked, ["g", "parent"])
-        upto = F.sum("n").over(Window.partitionBy("g", "parent").orderBy("prefix"))  # at most 65,536 digits
+            kept = matching(data.select(*groups, parent.alias("parent"), prefix.alias("prefix")), keys, "left_semi")
+            hist = kept.groupBy(*groups, "parent", "prefix").agg(F.count(F.lit(1)).alias("n"))
+            wanted = matching(hist, asked, "inner").drop("_parent", *own)
+        upto = F.sum("n").over(Window.partitionBy(*groups, "parent").orderBy("prefix"))  # at most 65,536 digits
         cut = wanted.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
         here = F.filter("ranks", lambda x: (x["rank"] > F.col("before")) & (x["rank"] <= F.col("upto")))
         found = cut.withColumn("hit", F.explode(here))
-        targets = found.select("g", *groups, "total", "prefix", F.col("hit.permille").alias("permille"), (F.col("hit.rank") - F.col("before")).alias("rank"))
+        targets = found.select(*groups, "total", "prefix", F.col("hit.permille").alias("permille"), (F.col("hit.rank") - F.col("before")).alias("rank"))
     return targets.select(*[F.col(c).alias(n) for n, c in zip(names, groups, strict=True)], F.col("total").alias("n"), "permille", value_of_bits(F.col("prefix")).alias("value"))
 
 
