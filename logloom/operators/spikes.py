@@ -14,7 +14,7 @@ in opposite directions, and its level holds too few readings to be a habit (HABI
 between two levels have such steps among their own, so a second habitual level stays normal, as does a lasting change, which has one
 such step only. Runs of equal readings (zero variance) are `stuck`; they don't count in the sketches.
 
-A task sees the sketches of one source over three days, or its readings of one hour, so no source is ever in one task.
+A task sees the sketches of one source over ten days, or its readings of one hour, so no source is ever in one task.
 
 Defined cases: null readings are no readings; NaN and infinite ones, negative ones and those over an hour are `impossible` and
 nothing else; a repeated row counts once; a null source is a source of its own; a zero reading counts as the smallest cell; a source's
@@ -36,6 +36,8 @@ CELLS = 8  # an octave
 CONTEXT = 40
 RADII = (1, 3, 8, 24)
 HOUR_US = 3_600_000_000
+#: Hours of a source that one task judges together; their sketches come with those of RADII[-1] hours on both sides.
+BLOCK, MARGIN = 192, 24
 
 #: Interquartile ranges from the quartiles to the fences, the least such range in cells, and the share of a context that makes a habit.
 FENCE, LEAST_RANGE, HABIT = 3.0, 3.0, 0.1
@@ -95,26 +97,27 @@ def fences(hourly: DataFrame, whole: DataFrame) -> DataFrame:
     """Of sketches of readings (`cells`) and of their steps (`steps`) by (entity, hour), and of readings and steps by entity: rows of
     entity, hour, `inside`, the ranges of cells of the habitual levels, and `step`, the longest plausible step in cells."""
     n = partitions_of(hourly)
-    spread = hourly.withColumn("day", F.explode(F.array(*(F.floor(F.col("hour") / 24) + d for d in (-1, 0, 1)))))
-    days = hourly.select(F.col("entity").alias("of"), F.floor(F.col("hour") / 24).alias("on")).distinct()
-    owned = days.join(whole.withColumnRenamed("entity", "of"), "of")  # a copy of a source's whole record for each of its days
+    spread = hourly.withColumn("block", F.explode(F.array_distinct(F.array(*(F.floor((F.col("hour") + d) / BLOCK) for d in (-MARGIN, 0, MARGIN))))))
+    blocks = hourly.select(F.col("entity").alias("of"), F.floor(F.col("hour") / BLOCK).alias("on")).distinct()
+    owned = blocks.join(whole.withColumnRenamed("entity", "of"), "of")  # a copy of a source's whole record for each of its blocks
 
     def run(key, pdf, record):
         import numpy as np
         import pandas as pd
 
-        day = int(key[1])
-        hours = pdf["hour"].to_numpy() - 24 * (day - 1) if len(pdf) else np.array([], int)
-        if not len(record) or not ((hours >= 24) & (hours < 48)).any():
+        first, n_hours = int(key[1]) * BLOCK - MARGIN, BLOCK + 2 * MARGIN
+        hours = pdf["hour"].to_numpy() - first if len(pdf) else np.array([], int)
+        mine = sorted({int(x) for x in hours if MARGIN <= x < MARGIN + BLOCK})
+        if not len(record) or not mine:
             return pd.DataFrame(columns=["entity", "hour", "inside", "step"], dtype=object)
 
         def contexts(column):
-            """By hour of the three days the cumulated counts, the counts of the whole record, and the lowest cell."""
+            """By hour the cumulated counts, the counts of the whole record, and the lowest cell."""
             pick = lambda cells: np.array([(c["cell"], c["n"]) for c in cells], np.int64).reshape(-1, 2)
             bins, all_ = [pick(c) if c is not None else np.zeros((0, 2), np.int64) for c in pdf[column]], pick(record[f"all_{column}"].iloc[0]) if record[f"all_{column}"].iloc[0] is not None else np.zeros((0, 2), np.int64)
             cells = np.concatenate([all_[:, 0], *(b[:, 0] for b in bins)])
             low, width = (int(cells.min()), int(cells.max() - cells.min()) + 1) if len(cells) else (0, 1)
-            table, total = np.zeros((73, width), np.int64), np.zeros(width, np.int64)
+            table, total = np.zeros((n_hours + 1, width), np.int64), np.zeros(width, np.int64)
             for h, b in zip(hours, bins, strict=True):
                 np.add.at(table[int(h) + 1], b[:, 0] - low, b[:, 1])
             np.add.at(total, all_[:, 0] - low, all_[:, 1])
@@ -123,22 +126,22 @@ def fences(hourly: DataFrame, whole: DataFrame) -> DataFrame:
         cum, total, low = contexts("cells")
         step_cum, step_total, step_low = contexts("steps")
         rows = []
-        for h in sorted({int(x) for x in hours if 24 <= x < 48}):
+        for h in mine:
             chosen, steps = total, step_total
             for r in RADII:
-                got = cum[min(h + r, 71) + 1] - cum[max(h - r, 0)]
+                got = cum[min(h + r, n_hours - 1) + 1] - cum[max(h - r, 0)]
                 if got.sum() >= CONTEXT:
-                    chosen, steps = got, step_cum[min(h + r, 71) + 1] - step_cum[max(h - r, 0)]
+                    chosen, steps = got, step_cum[min(h + r, n_hours - 1) + 1] - step_cum[max(h - r, 0)]
                     break
             n = int(chosen.sum())
             far = float(quartile_fences(steps)[1]) + step_low if steps.sum() else None
             inside = [{"lo": a + low, "hi": b + low, "habit": k >= HABIT * n} for a, b, k in levels_of(chosen)]
-            rows.append((key[0], h + 24 * (day - 1), inside, far))
+            rows.append((key[0], h + first, inside, far))
         return pd.DataFrame(rows, columns=["entity", "hour", "inside", "step"])
 
     # Partitions by number, so that this stage, which is all computing, isn't run by a few tasks because its data is small.
-    left, right = spread.repartition(n, "entity", "day"), owned.repartition(n, "of", "on")
-    return left.groupBy("entity", "day").cogroup(right.groupBy("of", "on")).applyInPandas(run, JUDGED)
+    left, right = spread.repartition(n, "entity", "block"), owned.repartition(n, "of", "on")
+    return left.groupBy("entity", "block").cogroup(right.groupBy("of", "on")).applyInPandas(run, JUDGED)
 
 
 def stepped(seen: DataFrame) -> DataFrame:
