@@ -119,13 +119,16 @@ def runs(entries: DataFrame, least: float = 1.0, gap_us: int | None = None, id_c
     if least < 1 and gap_us is None:
         raise ValueError("a similarity below 1 needs a gap limit")
     found = _equal(entries, gap_us, id_col)
-    if least < 1:
-        found = _near(found, least, gap_us)
+    return _shown(found if least >= 1 else _near(found, least, gap_us))
+
+
+def _shown(found: DataFrame) -> DataFrame:
     return found.select("entity", F.col("first_id").alias("first_entry_id"), F.col("last_id").alias("last_entry_id"), F.col("n").alias("n_events"), (F.col("last_at") - F.col("first_at")).alias("duration_us"), "template")
 
 
-def _equal(entries: DataFrame, gap_us: int | None, id_col: str) -> DataFrame:
-    """Runs of equal events."""
+def _equal(entries: DataFrame, gap_us: int | None, id_col: str, at_least: int = 1) -> DataFrame:
+    """Runs of so many equal events at least, kept in a table, so that the events are read once for runs inside of partitions and at
+    their borders."""
     events = entries.select(source_key("source").alias("entity"), micros("received_at").alias("at"), F.col(id_col).cast("long").alias("id"), "content")
     parted = events.repartitionByRange(partitions_of(entries), "entity", "at").sortWithinPartitions("entity", "at", "id")
     blanked = parted.select("entity", F.coalesce("at", F.lit(-(1 << 62))).alias("at"), "id", blank(F.col("content")).alias("template"))
@@ -165,14 +168,14 @@ def _equal(entries: DataFrame, gap_us: int | None, id_col: str) -> DataFrame:
                     done += flush()
                     entity = e
                 block.append((a, i, t))
-            if done:
-                yield pd.DataFrame([[*r, False] for r in done], columns=cols)
-        done = [[*r, False] for r in flush()] + [[*r, True] for r in held]
+            if done := [[*r, False] for r in done if r[5] >= at_least or r[7]]:
+                yield pd.DataFrame(done, columns=cols)
+        done = [[*r, False] for r in flush() if r[5] >= at_least or r[7]] + [[*r, True] for r in held]
         if done:
             yield pd.DataFrame(done, columns=cols)
 
-    found = blanked.mapInPandas(scan, RUNS)
-    return found.where("not (left or right)").drop("left", "right").unionByName(_join_up(found.where("left or right"), gap_us))
+    found = materialise(blanked.mapInPandas(scan, RUNS))
+    return found.where("not (left or right)").drop("left", "right").unionByName(_join_up(found.where("left or right"), gap_us)).where(F.col("n") >= at_least)
 
 
 def _join_up(edges: DataFrame, gap_us: int | None) -> DataFrame:
@@ -206,7 +209,7 @@ def stretches(found: DataFrame, gap_us: int) -> DataFrame:
 def _near(found: DataFrame, least: float, gap_us: int) -> DataFrame:
     """Runs of near-equal events, from those of equal ones."""
     cols = ["entity", "first_at", "first_id", "last_at", "last_id", "n", "template"]
-    parted = stretches(materialise(found), gap_us).repartition("entity", "stretch").sortWithinPartitions("entity", "stretch", "first_at", "first_id")
+    parted = stretches(found, gap_us).repartition("entity", "stretch").sortWithinPartitions("entity", "stretch", "first_at", "first_id")
 
     def scan(batches: Iterable) -> Iterator:
         import pandas as pd
@@ -233,4 +236,4 @@ def _near(found: DataFrame, least: float, gap_us: int) -> DataFrame:
 
 def repeated(entries: DataFrame) -> DataFrame:
     """Stretches of two or more entries that differ in nothing but stamps, numbers and ids."""
-    return runs(entries).where("n_events >= 2").select("first_entry_id", "last_entry_id", "n_events", "duration_us")
+    return _shown(_equal(entries, None, "entry_id", 2)).select("first_entry_id", "last_entry_id", "n_events", "duration_us")
