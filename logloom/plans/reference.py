@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import Config, FileOutput, Loki, NamedPattern
 from ..functions.entries import source_uri
 from ..operators import latency, metrics, parser, pattern, security, windows
-from ..session import read
+from ..session import read, spread
 from ..sinks import files, formats, push
 from ..sources import lines as sources
 from .pipeline import Pipeline, passthrough, row_module, without_errors
@@ -82,7 +82,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw lines as delivered, some of them twice."""
-    return read(spark, sf_dir, "log_entries")
+    return spread(read(spark, sf_dir, "log_entries"))
 
 
 def once(df: DataFrame, *columns: str | Column) -> DataFrame:

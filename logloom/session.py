@@ -101,6 +101,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a scan has fewer partitions than there are cores, as files of few row groups have: for what costs
+    much to work out of each row. A scan of more partitions, so any large one, stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """Hint a broadcast only after the rows were counted and lie within the bound; else leave the join to Catalyst and AQE."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
