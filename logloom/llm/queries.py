@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read
+from ..session import read, spread
 from . import packing, percentiles, pii, quality, runs, tokenize
 
 
@@ -31,7 +31,7 @@ def p2_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.found_rows(read(spark, sf_dir, "log_entries"), TABLES_KEY).select("entry_id", "pii_type", "pii_text")
+    return pii.found_rows(spread(read(spark, sf_dir, "log_entries").select("entry_id", "content")), TABLES_KEY).select("entry_id", "pii_type", "pii_text")
 
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,11 +54,11 @@ def p7_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenize.encode_corpus(read(spark, sf_dir, "documents"))
+    return tokenize.encode_corpus(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p9_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read(spark, sf_dir, "documents"))
+    return packing.pack_documents(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,12 +76,12 @@ def p9_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.found(read(spark, sf_dir, "documents"))
+    return quality.found(spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
 
 
 def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's statistics, their robust z-scores within the language, and its kind."""
-    return quality.measured(read(spark, sf_dir, "documents"))
+    return quality.measured(spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
 
 
 def p10_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
